@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines
+from . import chat, lines
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,16 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_frequency(_table(spark, sf_dir, "documents"))
 
 
+#: The contract's conversation that holds the template's own control strings.
+_TRICKY = "(-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]')"
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.sql(f"select * from values {_TRICKY} as t(conv_id, turn, role, text)")
+    return chat.digest(chat.format_turns(rows.unionByName(more)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
