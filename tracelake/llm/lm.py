@@ -234,7 +234,7 @@ def _score(shared):
     return run
 
 
-def score(docs: DataFrame, learn_from: Column, most_entries: int = 400_000, most_words: int = 60_000) -> DataFrame:
+def score(docs: DataFrame, learn_from: Column, most_entries: int = 400_000, most_words: int = 300_000) -> DataFrame:
     """n_tokens, n_known, train_tokens, base_score and score of each document; learn_from marks those to learn from."""
     context = docs.sparkSession.sparkContext
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), learn_from.alias("learn"))
@@ -252,26 +252,25 @@ def score(docs: DataFrame, learn_from: Column, most_entries: int = 400_000, most
     hot, n_hot = _arrays(words, least)
     end = F.lit(int(_END_WORD.astype(np.int64)))
     shared = context.broadcast((levels, hot, n_hot, total, distinct))
-    docs_scored = texts.select("doc_id", "text").mapInArrow(_score(shared), "doc_id long, text_hash long, n_tokens long, hot_known long, hot_score double, score double, rare array<struct<key:long,many:int>>")
-    # one row for each rare word, or one with a key that is no word's
-    exploded = docs_scored.select("*", F.posexplode_outer("rare").alias("i", "word")).drop("rare").withColumn("key", F.coalesce("word.key", F.xxhash64("doc_id", "text_hash")))
-    rare = words.where((F.col("n") < least) | (F.col("key") == end)).select(F.col("key").alias("w_key"), F.col("n").alias("w_n"))
-    joined = exploded.join(rare, (F.col("key") == F.col("w_key")) & F.col("word").isNotNull(), "left")
+    base = stored(texts.select("doc_id", "text").mapInArrow(_score(shared), "doc_id long, text_hash long, n_tokens long, hot_known long, hot_score double, score double, rare array<struct<key:long,many:int>>"))
+    exploded = base.select("doc_id", "text_hash", F.posexplode("rare").alias("i", "word")).select("doc_id", "text_hash", "word.*", (F.col("i") == 0).cast("int").alias("first"))
+    rare = words.where((F.col("n") < least) & (F.col("key") != end)).select(F.col("key").alias("w_key"), F.col("n").alias("w_n"))
+    joined = exploded.join(rare, F.col("key") == F.col("w_key"), "left")
     norm = F.log10(F.lit(total + 0.5 * (distinct + 1)))
-    many = F.coalesce("word.many", F.lit(0))
-    per = joined.groupBy("doc_id", "text_hash", "n_tokens", "hot_known", "hot_score", "score").agg(
-        F.sum(F.when(F.coalesce("i", F.lit(0)) == 0, 1).otherwise(0)).cast("int").alias("copies"),
-        F.sum(F.when(F.col("w_n").isNotNull(), many).otherwise(0)).alias("known"),
-        F.sum(many * (F.log10(F.coalesce("w_n", F.lit(0)) + 0.5) - norm)).alias("rest"),
+    per = joined.groupBy(F.col("doc_id").alias("p_id"), F.col("text_hash").alias("p_hash")).agg(
+        F.sum("first").alias("copies"),  # equal rows are summed together
+        F.sum(F.when(F.col("w_n").isNotNull(), F.col("many")).otherwise(0)).alias("known"),
+        F.sum(F.col("many") * (F.log10(F.coalesce("w_n", F.lit(0)) + 0.5) - norm)).alias("rest"),
     )
     end_count = words.where(F.col("key") == end).select("n").first()
     ends = end_count["n"] if end_count else 0
-    per = per.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return per.select(
+    out = base.drop("rare").join(per, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_hash") == F.col("p_hash")), "left")
+    known, rest = (F.coalesce(F.col(c) / F.col("copies"), F.lit(0.0)) for c in ("known", "rest"))
+    return out.select(
         "doc_id",
         "n_tokens",
-        (F.col("hot_known") + F.col("known") / F.col("copies") + (1 if ends else 0)).cast("long").alias("n_known"),
+        (F.col("hot_known") + known + (1 if ends else 0)).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("hot_score") + F.col("rest") / F.col("copies") + F.log10(F.lit(ends + 0.5)) - norm).alias("base_score"),
+        (F.col("hot_score") + rest + F.log10(F.lit(ends + 0.5)) - norm).alias("base_score"),
         "score",
     )
