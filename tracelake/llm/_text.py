@@ -110,6 +110,10 @@ class Texts:
         end.sort(kind="stable")
         return start, end
 
+    def line_bounds(self) -> np.ndarray:
+        """Index of each document's first line, and the number of lines; every document has one line at least."""
+        return np.arange(self.n + 1) + np.searchsorted(np.flatnonzero(self.data == 10), self.offsets, side="left")
+
     def bounds(self, starts: np.ndarray) -> np.ndarray:
         """Index of each document's first item, and the number of items, for items that start at these bytes."""
         return np.searchsorted(starts, self.offsets, side="left")
