@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as t
@@ -77,7 +77,23 @@ def _marked(length: int, gram: int):
                 h = t.span_hash(t.prefix_hash(x.data), at, at + gram)
                 doc = np.searchsorted(x.offsets, at, side="right") - 1
                 own = refs.slice(a, b - a).to_numpy(zero_copy_only=False)[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array((at - x.offsets[doc]).astype(np.int32)), pa.array(t.as_long(h))], ["ref", "place", "gram"])
+                place = (at - x.offsets[doc]).astype(np.int32)
+                # what repeats in this slice is known to: it is spread by a key of its own, and one row stands for it
+                gram_of, back, many = np.unique(h, return_inverse=True, return_counts=True)
+                known = many[back] > 1
+                key = np.where(known, t.mix(own.view(np.uint64) ^ t.mix(at.astype(np.uint64))), h)
+                stand = gram_of[many > 1]
+                absent = np.concatenate([np.zeros(len(own), bool), np.ones(len(stand), bool)])
+                filler = np.zeros(len(stand), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([own, filler]), mask=absent),
+                        pa.array(np.concatenate([place, filler.astype(np.int32)])),
+                        pa.array(t.as_long(np.concatenate([key, stand]))),
+                        pa.array(np.concatenate([1 + known, 2 + filler]).astype(np.int32)),
+                    ],
+                    ["ref", "place", "key", "times"],
+                )
 
     return run
 
@@ -334,6 +350,20 @@ def _removed(length: int):
     return run
 
 
+def _joined(spans: str) -> Column:
+    """Sorted spans as maximal runs."""
+    kind = "array<struct<start:int,end:int>>"
+
+    def add(s: Column, x: Column) -> Column:
+        meets = x["start"] <= s["last"]["end"]
+        longer = F.struct(s["last"]["start"].alias("start"), F.greatest(s["last"]["end"], x["end"]).alias("end"))
+        return F.struct(F.when(meets, s["done"]).otherwise(F.concat(s["done"], F.array(s["last"]))).alias("done"), F.when(meets, longer).otherwise(x).alias("last"))
+
+    start = F.struct(F.array().cast(kind).alias("done"), F.get(spans, F.lit(0)).alias("last"))
+    folded = F.aggregate(F.slice(spans, 2, F.greatest(F.size(spans) - 1, F.lit(0))), start, add, lambda s: F.concat(s["done"], F.array(s["last"])))
+    return F.when(F.size(spans) == 0, F.array().cast(kind)).otherwise(folded)
+
+
 def remove_repeated(docs: DataFrame, length: int = 200, gram: int = 48, run_entries: int = 100_000, range_entries: int = 40_000, sampled_heads: int = 50_000, most_ids: int = 2_000_000) -> DataFrame:
     """doc_id, n_bytes, removed (maximal spans) and kept (the remaining bytes) of each document."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -345,8 +375,8 @@ def remove_repeated(docs: DataFrame, length: int = 200, gram: int = 48, run_entr
     extra = stored(long_.select("doc_id", "ref").join(small(copies), F.col("ref") == F.col("c_ref")).where("doc_id <> first").select("doc_id", "ref").distinct())
     nodes = long_.join(small(extra), ["doc_id", "ref"], "left_anti").select("ref", "text")
     # suffixes whose gram occurs again
-    marked = nodes.mapInArrow(_marked(length, gram), "ref long, place int, gram long")
-    again = marked.withColumn("n", F.count("*").over(Window.partitionBy("gram"))).where("n > 1")
+    marked = nodes.mapInArrow(_marked(length, gram), "ref long, place int, key long, times int")
+    again = marked.withColumn("n", F.sum("times").over(Window.partitionBy("key"))).where("n > 1 and ref is not null")
     places = stored(again.groupBy("ref").agg(F.array_sort(F.collect_set("place")).alias("places")))
     total = places.agg(F.sum(F.size("places"))).first()[0] or 0
     held = stored(nodes.join(small(places.select("ref")), "ref", "left_semi").join(places, "ref"))
@@ -361,7 +391,8 @@ def remove_repeated(docs: DataFrame, length: int = 200, gram: int = 48, run_entr
     found = spans.groupBy("ref").agg(F.collect_set(F.struct("start", "end")).alias("spans")).select("ref", "spans", F.lit(False).alias("whole"))
     none = F.array().cast("array<struct<start:int,end:int>>")
     info = found.unionByName(copies.select(F.col("c_ref").alias("ref"), none.alias("spans"), F.lit(True).alias("whole")))
-    info = stored(info.groupBy("ref").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.max("whole").alias("whole")))
+    info = info.groupBy("ref").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.max("whole").alias("whole"))
+    info = stored(info.select("ref", _joined("spans").alias("spans"), "whole"))
     size = info.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
     info = F.broadcast(info) if size[0] + size[1] <= most_ids else info
     joined = texts.join(info, "ref", "left").select("doc_id", "text", "spans", "whole")
