@@ -6,8 +6,8 @@ many pages it stands, which sequences of children it shows there, and which
 texts its leaves hold.  Importance is entropy-based: a node whose pages show
 many presentations is important, a leaf is the more important the fewer pages
 share its texts, and an inner node combines its own presentation with its
-children's importance, less so the more children it has.  Branches of low
-importance are removed from each page.
+children's importance, less so the more children it has.  A branch of which
+every node is of low importance is noise and is removed from each page.
 
 Names decide where statistics cannot (a host with few pages, or unique reader
 comments): scripts, styles, forms, menus, footers, asides, and elements whose
@@ -226,6 +226,7 @@ def _importance(table: pa.Table) -> pa.Table:
         if r["parent"] in rows and r["parent"] != p:
             children.setdefault(r["parent"], []).append(p)
     value: dict[int, float] = {}
+    highest: dict[int, float] = {}
     order, todo = [], [p for p, r in rows.items() if r["parent"] not in rows or r["parent"] == p]
     while todo:
         order.append(p := todo.pop())
@@ -237,12 +238,15 @@ def _importance(table: pa.Table) -> pa.Table:
             parts.append((r["texts"], r["pages"]))
         below = sum(v * n for v, n in parts) / sum(n for _, n in parts) if parts else 1.0
         weight = GAMMA ** (r["n"] or 0)
+        highest[p] = max([highest[c] for c in children.get(p, [])] + ([r["texts"]] if r["texts"] is not None else []), default=0.0)
         value[p] = below if not children.get(p) else (1 - weight) * (r["styles"] if r["styles"] is not None else 1.0) + weight * below
-    return pa.table({"host": pa.array([rows[p]["host"] for p in order], pa.int64()), "path": pa.array(order, pa.int64()), "pages": pa.array([rows[p]["pages"] for p in order], pa.int64()), "importance": pa.array([value[p] for p in order], pa.float64()), "texts": pa.array([rows[p]["texts"] for p in order], pa.float64())})
+        highest[p] = max(highest[p], value[p])
+    return pa.table({"host": pa.array([rows[p]["host"] for p in order], pa.int64()), "path": pa.array(order, pa.int64()), "pages": pa.array([rows[p]["pages"] for p in order], pa.int64()), "importance": pa.array([value[p] for p in order], pa.float64()), "highest": pa.array([highest[p] for p in order], pa.float64())})
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance, texts) of every node of every host's merged tree; pages has host (long) and html."""
+    """(host, path, pages, importance, highest) of every node of every host's merged tree, highest being the greatest
+    importance in the branch; pages has host (long) and html."""
     seen = pages.mapInArrow(_observed, "host long, path long, parent long, kind int, value long, n int")
     counts = seen.groupBy("host", "path", "parent", "kind", "value").agg(F.count("*").alias("k"), F.first("n").alias("n"))
     per = counts.groupBy("host", "path", "parent").agg(
@@ -257,7 +261,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     styles = F.when(several, (F.log(m) - F.col("klogk") / m) / F.log(m)).otherwise(1.0)
     texts = F.when(F.col("logk").isNotNull(), F.when(several, F.greatest(F.lit(0.0), 1 - F.col("logk") / F.log(m))).otherwise(1.0))
     per = per.select("host", "path", "parent", F.coalesce("pages", F.lit(1)).alias("pages"), styles.alias("styles"), texts.alias("texts"), "n")
-    return per.groupBy("host").applyInArrow(_importance, "host long, path long, pages long, importance double, texts double")
+    return per.groupBy("host").applyInArrow(_importance, "host long, path long, pages long, importance double, highest double")
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,13 +274,13 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def main_text(pages: DataFrame, least_importance: float = 0.3, fixed_importance: float = 0.02, least_pages: int = 20, most_paths: int = 500_000) -> DataFrame:
-    """page_id, url, text.  Paths under least_importance go, inside articles those under fixed_importance;
+    """page_id, url, text.  Branches under least_importance go, inside articles those under fixed_importance;
     both only where least_pages pages or more of the host have them."""
     host = F.xxhash64(F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
     tree = style_tree(rows.select("host", "html")).where((F.col("pages") >= least_pages) & (F.col("path") != 0))
-    low = tree.where(F.col("importance") < least_importance)
-    fixed = F.when(F.coalesce("texts", "importance") < fixed_importance, F.col("path"))
+    low = tree.where(F.col("highest") < least_importance)
+    fixed = F.when(F.col("highest") < fixed_importance, F.col("path"))
     low = stored(low.groupBy(F.col("host").alias("l_host")).agg(F.collect_list("path").alias("removed"), F.collect_list(fixed).alias("fixed"), F.count("*").alias("n_paths")))
     few = (low.agg(F.sum("n_paths")).first()[0] or 0) <= most_paths
     joined = rows.join(F.broadcast(low) if few else low, F.col("host") == F.col("l_host"), "left")
