@@ -22,4 +22,14 @@ def stored(df: DataFrame) -> DataFrame:
     """df, written once as Parquet to the shared folder and read from there: lost executors cost no earlier stage."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that no later step reads."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
