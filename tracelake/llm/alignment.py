@@ -185,13 +185,18 @@ def deleted_lines(docs: DataFrame, least_words: int = 20) -> DataFrame:
     return aligned.groupBy("doc_id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"), F.count("*").alias("n_partners"))
 
 
-def dedup_lines(docs: DataFrame, least_words: int = 20) -> DataFrame:
-    """docs with text less the deleted lines, and n_lines, n_deleted, n_partners."""
+def dedup_lines(docs: DataFrame, least_words: int = 20, most_broadcast: int = 2_000_000) -> DataFrame:
+    """docs with text less the deleted lines, and n_lines, n_deleted, n_partners.
+
+    The deletions are broadcast when their rows and lines, counted beforehand, are at most most_broadcast.
+    """
     gone = stored(deleted_lines(docs, least_words))
+    size = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
     docs = docs.drop("n_lines", "n_deleted", "n_partners", "_hash")
     kinds = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)
     hashed = docs.mapInArrow(_text_hash, f"{kinds}, _hash long")
     gone = gone.withColumnsRenamed({"doc_id": "_g_id", "text_hash": "_g_hash", "places": "_places"})
+    gone = F.broadcast(gone) if size[0] + size[1] <= most_broadcast else gone
     joined = hashed.join(gone, F.col("doc_id").eqNullSafe(F.col("_g_id")) & (F.col("_hash") == F.col("_g_hash")), "left")
     lines = F.split("text", "\n", -1)
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_places", i)), "\n")
