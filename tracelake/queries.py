@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from . import surface
 from .operators import ExpHistogramQuery, HistogramQuery, LogQuery, MetricQuery, SpanMetricsQuery, TraceQuery, attribute_names, attribute_values, metric_catalog, metric_dimensions, metric_exemplars, metric_series, summaries, waterfall
+from .operators.attrstats import key_statistics
 from .operators.traces import ancestors
 from .plans import EvalRange, logql, promql, traceql
 from .sources import adapters
 from .sources.adapters import duck, view
+from .sources.otlp import normalize
+from .streaming import dedup_points, reassemble, remap, session_volume, sliding_volume, tumbling_volume
 
 HOUR, DAY = 3_600_000_000_000, 86_400_000_000_000
 #: The first instant of the test events, in nanoseconds.
@@ -327,6 +330,69 @@ def traceql_not_parent(spark, d):
     return _traceql(spark, d, '{ name = "line" } !< { name = "order" }')
 
 
+_US = "epoch_us(ts)"
+
+
+@_query(f"select make_timestamp(({_US} // 21600000000) * 21600000000) as start, event_type as service, count(*) as count from events group by 1, 2")
+def stream_tumbling(spark, d):
+    return tumbling_volume(view(spark, d, "logs"), "6 hours", "service").select(F.col("start").cast("timestamp_ntz").alias("start"), "service", "count")
+
+
+@_query(f"""select make_timestamp(s) as start, count(*) as count from (select unnest(range(({_US} // 21600000000) * 21600000000 - 64800000000, ({_US} // 21600000000) * 21600000000 + 1, 21600000000)) as s, {_US} as us from events) x where us >= s and us < s + 86400000000 group by 1""")
+def stream_sliding(spark, d):
+    return sliding_volume(view(spark, d, "logs"), "24 hours", "6 hours").select(F.col("start").cast("timestamp_ntz").alias("start"), "count")
+
+
+@_query(f"""with l as (select user_id, {_US} as us, event_id, case when {_US} - lag({_US}) over w < 86400000000 then 0 else 1 end as new from events window w as (partition by user_id order by ts, event_id)), s as (select *, sum(new) over (partition by user_id order by us, event_id) as k from l)
+ select cast(user_id as varchar) as service, make_timestamp(min(us)) as start, count(*) as count from s group by user_id, k""")
+def stream_session(spark, d):
+    adapters.tables(spark, d, "events")
+    logs = spark.sql("select unix_micros(cast(ts as timestamp)) * 1000 as time_ns, cast(user_id as string) as service from events")
+    return session_volume(logs, "24 hours", "service").select("service", F.col("start").cast("timestamp_ntz").alias("start"), "count")
+
+
+@_query("select count(*) as n from (select distinct event_type, user_id % 4, ts from events) x")
+def stream_dedup(spark, d):
+    points = view(spark, d, "metrics_gauge")
+    return dedup_points(points.unionByName(points)).agg(F.count("*").alias("n"))
+
+
+@_query("select conv_id, string_agg(text, '' order by turn) as line from conversations group by conv_id")
+def stream_reassemble(spark, d):
+    rows = spark.read.parquet(f"{d}/conversations.parquet")
+    chunks = rows.select(F.col("conv_id").alias("chunk_id"), F.col("turn").alias("ordinal"), (F.col("conv_id") * 1000 + F.col("turn")).alias("time_ns"), F.lit("stdout").alias("source"), "text")
+    return reassemble(chunks).select((F.col("time_ns") / 1000).cast("long").alias("conv_id"), "line")
+
+
+@_query("select event_id * 1000000 as time_ns, event_type as service, 'user ' || user_id as body, 17 as severity_number, '{\"k\":' || cast(event_id % 7 as varchar) || '}' as attributes from events where event_type = 'error'")
+def log_remap(spark, d):
+    """Lines as JSON, read back as records."""
+    e = spark.read.parquet(f"{d}/events.parquet").where("event_type = 'error'")
+    line = F.concat(F.lit('{"level":"ERR","msg":"user '), F.col("user_id"), F.lit('","k":'), F.col("event_id") % 7, F.lit("}"))
+    out = remap(e.select(line.alias("line"), (F.col("event_id") * 1_000_000).alias("observed_time_ns"), F.col("event_type").alias("service")))
+    return out.select("time_ns", "service", "body", F.col("severity_number").cast("int").alias("severity_number"), "attributes")
+
+
+@_query("select count(*) as n, count(distinct body) as bodies, min(body) as first, sum(k) as total from (select 'event ' || event_id as body, user_id as k from events) x")
+def otlp_logs(spark, d):
+    """One OTLP JSON document per event, normalised to rows."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    record = F.concat(F.lit('{"timeUnixNano":"'), F.col("event_id") + 1, F.lit('","severityNumber":9,"body":{"stringValue":"event '), F.col("event_id"), F.lit('"},"attributes":[{"key":"k","value":{"intValue":"'), F.col("user_id"), F.lit('"}}]}'))
+    text = F.concat(F.lit('{"resourceLogs":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"shop"}}]},"scopeLogs":[{"logRecords":['), record, F.lit("]}]}]}"))
+    from .functions import json_get_num
+
+    rows = normalize(e.select(text.alias("value")), "logs").where("service = 'shop'")
+    return rows.agg(F.count("*").alias("n"), F.countDistinct("body").alias("bodies"), F.min("body").alias("first"), F.sum(json_get_num(F.col("attributes"), "k")).cast("long").alias("total"))
+
+
+@_query("""with a as (select event_type as segment, cast(props::json ->> 'k' as varchar) as value from events), v as (select value, count(distinct segment) as held, count(*) as n from a group by 1)
+ select 'k' as key, sum(n)::bigint as rows_present, 0::bigint as rows_string, (select count(distinct segment) from a) as segments_present, count(*) as distinct_values, sum(held)::bigint as postings, round(avg(held / 5.0), 9) as sigma_mean, round(sum(n) / count(*), 6) as repetition, '-' as promote from v""")
+def attribute_statistics(spark, d):
+    logs = view(spark, d, "logs").withColumn("segment", F.col("service"))
+    out = key_statistics(logs)
+    return out.select("key", "rows_present", "rows_string", "segments_present", "distinct_values", "postings", F.round("sigma_mean", 9).alias("sigma_mean"), F.round("repetition", 6).alias("repetition"), "promote")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return _QUERIES | surface.queries()
 
