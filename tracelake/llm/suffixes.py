@@ -236,7 +236,7 @@ def merge(runs: list[Iterator[tuple[int, bytes, tuple]]]) -> Iterator[tuple[int,
             node //= 2
 
 
-def _repeated(contexts: list[tuple[bytes, bytes, int]], length: int, gram: int, most: int = 3_000_000) -> list[tuple[int, int] | None]:
+def _repeated(contexts: list[tuple[bytes, bytes, int]], length: int, gram: int, most: int = 500_000) -> list[tuple[int, int] | None]:
     """For each (suffix, left bytes, occurrences): the least and greatest offset of the suffix in a window that repeats."""
     reach = length - gram
     m, width = len(contexts), reach + length
@@ -271,7 +271,7 @@ def _repeated(contexts: list[tuple[bytes, bytes, int]], length: int, gram: int,
     return [(int(a), int(b)) if b >= 0 else None for a, b in zip(low, high, strict=True)]
 
 
-def _merged(length: int, gram: int, batch_entries: int = 2000):
+def _merged(length: int, gram: int, batch_entries: int = 1000):
     def run(table: pa.Table) -> pa.Table:
         refs: list[int] = []
         starts: list[int] = []
@@ -333,19 +333,21 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _removed(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            rows = []
-            columns = (batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), batch.column("whole").to_pylist())
-            for text, spans, all_ in zip(*columns, strict=True):
-                whole = [(0, len(text))] if all_ and len(text) >= length else union([(s["start"], s["end"]) for s in spans or []])
-                kept, at = [], 0
-                for a, b in whole:
-                    kept.append(text[at:a])
-                    at = b
-                kept.append(text[at:])
-                rows.append((len(text), [{"start": a, "end": b} for a, b in whole], b"".join(kept)))
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
+            for a, b, x in t.slices(batch.column("text")):
+                raw, removed, kept = x.data.tobytes(), [], []
+                columns = (batch.column(c).slice(a, b - a).to_pylist() for c in ("spans", "whole"))
+                for first, last, spans, all_ in zip(x.offsets[:-1].tolist(), x.offsets[1:].tolist(), *columns, strict=True):
+                    size = last - first
+                    runs = [(0, size)] if all_ and size >= length else union([(s["start"], s["end"]) for s in spans or []])
+                    at, parts = first, []
+                    for start, end in runs:
+                        parts.append(raw[at : first + start])
+                        at = first + end
+                    removed.append([{"start": start, "end": end} for start, end in runs])
+                    kept.append(b"".join([*parts, raw[at:last]]))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(x.offsets)), pa.array(removed, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
     return run
 
@@ -364,7 +366,7 @@ def _joined(spans: str) -> Column:
     return F.when(F.size(spans) == 0, F.array().cast(kind)).otherwise(folded)
 
 
-def remove_repeated(docs: DataFrame, length: int = 200, gram: int = 48, run_entries: int = 100_000, range_entries: int = 40_000, sampled_heads: int = 50_000, most_ids: int = 2_000_000) -> DataFrame:
+def remove_repeated(docs: DataFrame, length: int = 200, gram: int = 48, run_entries: int = 30_000, range_entries: int = 40_000, sampled_heads: int = 50_000, most_ids: int = 2_000_000) -> DataFrame:
     """doc_id, n_bytes, removed (maximal spans) and kept (the remaining bytes) of each document."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("ref", F.xxhash64(F.sha2("text", 256)))
