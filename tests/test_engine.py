@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tracelake import functions as fn
 from tracelake import queries as engine
+from tracelake.api import Engine
 from tracelake.operators import ExpHistogramQuery, HistogramQuery, LogQuery, MetricQuery, SpanMetricsQuery, TraceQuery
 from tracelake.operators.traces import ancestors
 from tracelake.plans import Diagnostic, EvalRange, LimitExceeded, logql, promql, traceql
@@ -269,6 +270,26 @@ def test_store(spark, tmp_path):
     assert spark.sql("select count(*) from logs where time_ns < 1000").first()[0] == 10
 
 
+def test_engine(spark, tmp_path):
+    engine_ = Engine(Store(spark, str(tmp_path / "db")))
+    docs = spark.createDataFrame([(json.dumps(OTLP),)], "value string")
+    assert engine_.ingest_otlp(docs)["metrics_sum"].accepted == 1
+    again = engine_.ingest_otlp(docs.unionByName(docs), reject_duplicates=True)
+    assert (again["metrics_gauge"].accepted, again["metrics_gauge"].rejected, again["logs"].accepted) == (0, 2, 2)
+    assert engine_.query_sql("select count(*) as n from logs where matches(body, :q)", {"q": "b"}).first().n == 3
+    assert engine_.list_metrics().count() == 2 and engine_.metric("cpu").every(S).query_range().first().value == 0.5
+    assert [r.value for r in engine_.promql("requests", "sum(cpu)", span=EvalRange.instant(100)).orderBy("query_index").collect()] == [42.0, 0.5]
+    assert engine_.traceql("{ kind = \"SERVER\" }", EvalRange(0, 100, 1), most_traces=5).count() == 1
+    assert engine_.logql("{service=\"shop\"}").count() == 3 and engine_.list_attribute_values("service.name").collect()[0].value == "shop"
+    assert engine_.promql_for("sum", "requests", "service") == "sum by (service) (rate(requests[5m]))"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps(OTLP) + "\n")
+    engine_.stream_otlp(str(tmp_path / "in"), str(tmp_path / "ck")).awaitTermination()
+    assert engine_.logs().count().first()[0] == 4 and engine_.tail_logs(limit=2).count() == 2
+    engine_.set_promoted_attributes(["k"])
+    assert engine_.run_housekeeping()["rewritten"] > 0 and engine_.db_stats().where("rows > 0").count() == 4
+
+
 def test_lines(spark):
     s = structured('{"level":"warn","msg":"hi","ts":"1970-01-01T00:00:01Z","trace_id":"' + "0" * 32 + '","x":1}', 2 * S)
     assert (s["severity_number"], s["body"], s["time_ns"], s["attributes"], len(s["trace_id"])) == (13, "hi", S, '{"x":1}', 16)
