@@ -330,6 +330,39 @@ def test_language_model(spark, docs, rows):
         assert all(np.isfinite(r.score) and r.score < 0 for r in out)
 
 
+def test_language_model_drops_no_count(spark, docs, rows):
+    """Scores by plain Python from all counts, however few entries are sent to the executors."""
+    learnt = lambda i: i is None or i % 3 > 0
+    symbols = lambda x: [lm._PAD] * lm.ORDER + list((x or "").encode()) + [lm._END]
+    after: dict[tuple, Counter] = {}
+    for i, x, _ in rows:
+        s = symbols(x)
+        for p in range(lm.ORDER, len(s)) if learnt(i) else ():
+            for d in range(lm.ORDER + 1):
+                after.setdefault(tuple(s[p - d : p]), Counter())[s[p]] += 1
+
+    def log10(context, symbol):
+        p, gone = 0.0, set()
+        for d in range(lm.ORDER, -1, -1):
+            counts = {c: n for c, n in after.get(context[len(context) - d :], {}).items() if c not in gone}
+            if not counts:
+                continue
+            total = sum(counts.values()) + len(counts)
+            if symbol in counts:
+                return p + np.log10(counts[symbol] / total)
+            p += np.log10(len(counts) / total)
+            gone |= set(counts)
+        return p - np.log10(256 - len(gone))
+
+    want = []
+    for i, x, _ in rows:
+        s = symbols(x)
+        want.append((i, round(sum(log10(tuple(s[p - lm.ORDER : p]), s[p]) for p in range(lm.ORDER, len(s))), 6)))
+    for most_entries in (400_000, 20, 0):
+        out = lm.score(docs, F.col("doc_id") % 3 > 0, most_entries=most_entries).collect()
+        assert sorted((r.doc_id, round(r.score, 6)) for r in out) == sorted(want)
+
+
 def test_probabilities_sum_to_one():
     texts = ["the cat sat on the mat", "the dog sat", "aaaa", "é漢"]
     grams = []

@@ -9,11 +9,14 @@ its escape (method C: distinct symbols against occurrences), and symbols of
 the longer context are excluded from the shorter one's counts.  The end of a
 text is coded as a symbol of its own, so probabilities of texts sum to one.
 
-The trie that is sent to the executors keeps, by level, the most frequent
-entries, at most ``most_entries``: its size does not grow with the corpus, the
-counts behind it do.  Unigram counts of words stay a distributed table; only
-the ``most_words`` most frequent are sent, and the other words of a document
-are joined with the table.
+No count is dropped.  A byte's probability depends on its context and symbol
+alone, so it is worked out once for each distinct pair of the documents, in
+groups of the context's last two bytes: a group holds all its longer contexts,
+and the two levels of shorter ones, 65,792 entries at most, are sent whole.
+The results stay a distributed table, like the unigram counts of words.  Only
+the most frequent entries of each (``most_entries`` for each level of the
+trie, and ``most_words``) are sent to the executors, and the other bytes and
+words of a document are joined with the tables.
 
 Defined cases: null text is empty and is still one end token; rows with equal
 doc_id and text get equal results, one each; with no training documents words
@@ -76,23 +79,32 @@ def _words(x: t.Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words (kind 0) and of contexts with symbols (kind 1): n in the documents to learn from, seen in all."""
     words: list = []
     grams: list = []
     docs = 0
     for batch in batches:
-        for _, _, x in t.slices(batch.column("text")):
-            docs += x.n
-            words.append(np.unique(_words(x)[0], return_counts=True))
-            grams.append(np.unique(_keys(x)[0], return_counts=True))
+        flags = np.array(batch.column("learn").to_pylist(), bool)
+        for a, b, x in t.slices(batch.column("text")):
+            learn = flags[a:b]
+            docs += int(learn.sum())
+            h, at = _words(x)
+            words.append(np.unique(h[np.repeat(learn, np.diff(at))], return_counts=True))
+            keys, bound = _keys(x)
+            own = np.repeat(learn, np.diff(bound)).astype(np.uint64)
+            grams.append(np.unique((keys << np.uint64(1)) | own, return_counts=True))
             if len(grams) >= 8:
                 words, grams = [_count(words)], [_count(grams)]
     if docs:
         words.append((np.array([_END_WORD]), np.array([docs])))
     for kind, parts in ((0, words), (1, grams)):
-        key, n = _count(parts)
+        key, seen = _count(parts)
+        n = np.where(key & np.uint64(1), seen, 0) if kind else seen
+        key = key >> np.uint64(kind)
         for a in range(0, len(key), 50_000):
             part = slice(a, a + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), kind, np.int32)), pa.array(t.as_long(key[part])), pa.array(n[part].astype(np.int64))], ["kind", "key", "n"])
+            columns = [pa.array(np.full(len(key[part]), kind, np.int32)), pa.array(t.as_long(key[part])), pa.array(n[part].astype(np.int64)), pa.array(seen[part].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["kind", "key", "n", "seen"])
 
 
 def _threshold(counts: DataFrame, most: int) -> int:
@@ -108,11 +120,11 @@ def _threshold(counts: DataFrame, most: int) -> int:
     return min(least, 1)
 
 
-def _arrays(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    table = counts.where(F.col("n") >= least).select("key", "n").toArrow()
-    key, n = table.column("key").to_numpy().astype(np.int64).view(np.uint64), table.column("n").to_numpy().astype(np.int64)
+def _arrays(rows: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+    table = rows.select("key", value).toArrow()
+    key, values = table.column("key").to_numpy().astype(np.int64).view(np.uint64), table.column(value).to_numpy()
     order = np.argsort(key)
-    return key[order], n[order]
+    return key[order], values[order]
 
 
 class Trie:
@@ -172,10 +184,68 @@ class Trie:
         return out
 
 
+def _group(key: np.ndarray) -> np.ndarray:
+    """The last two bytes of the context."""
+    return (key >> np.uint64(8)) & np.uint64(0xFFFF)
+
+
+def _probabilities(shared):
+    """log10 probability of each key; rows come sorted by group, and no group is parted."""
+
+    def values(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, n, seen = (np.concatenate(c) for c in zip(*parts, strict=True))
+        learnt = n > 0
+        own = [_count([(key[learnt] & np.uint64((1 << 8 * (d + 1)) - 1), n[learnt])]) for d in range(2, ORDER + 1)]
+        return pa.RecordBatch.from_arrays([pa.array(t.as_long(key)), pa.array(seen), pa.array(Trie([*shared.value, *own]).log10(key))], ["key", "seen", "value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list = []
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy().view(np.uint64)
+            n, seen = batch.column("n").to_numpy(), batch.column("seen").to_numpy()
+            cut = 0
+            if rows + len(key) >= 500_000:  # all but the last group are whole
+                group = _group(key)
+                cut = int(np.searchsorted(group, group[-1]))
+                if parts and (cut or _group(parts[-1][0][-1:])[0] != group[0]):
+                    yield values([*parts, (key[:cut], n[:cut], seen[:cut])])
+                    parts, rows = [], 0
+                else:
+                    cut = 0
+            parts.append((key[cut:], n[cut:], seen[cut:]))
+            rows += len(key) - cut
+        if parts:
+            yield values(parts)
+
+    return run
+
+
+class Table:
+    """The log10 probabilities of some keys; those of other keys are not numbers."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+
+    def log10(self, keys: np.ndarray) -> np.ndarray:
+        at, found = Trie._find(self.keys, keys)
+        return np.where(found, self.values[at], np.nan) if len(self.keys) else np.full(len(keys), np.nan)
+
+
+def _many(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (document, key), and how often each is there."""
+    order = np.lexsort((key, doc))
+    doc, key = doc[order], key[order]
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))) if len(key) else np.zeros(0, np.int64)
+    return doc[first], key[first], np.diff(np.append(first, len(key)))
+
+
 class Scorer:
-    """The trie behind a direct-mapped table of results, so that most bytes cost one look-up."""
+    """A trie or table behind a direct-mapped table of results, so that most bytes cost one look-up."""
 
-    def __init__(self, trie: Trie):
+    def __init__(self, trie: Trie | Table):
         self.trie = trie
         self.key = np.full(1 << _SLOTS, np.uint64(0xFFFFFFFFFFFFFFFF))
         self.value = np.zeros(1 << _SLOTS)
@@ -201,34 +271,31 @@ class Scorer:
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, hot, n_hot, total, distinct = shared.value
-        scorer = Scorer(Trie(levels))
+        table, hot, n_hot, total, distinct = shared.value
+        scorer = Scorer(Table(*table))
         norm = np.log10(total + 0.5 * (distinct + 1))
         value = np.log10(n_hot + 0.5) - norm
         for batch in batches:
             for a, b, x in t.slices(batch.column("text")):
                 keys, bound = _keys(x)
-                score = np.add.reduceat(scorer.log10(keys), bound[:-1])
+                log10 = scorer.log10(keys)
+                unknown = np.isnan(log10)
+                score = np.add.reduceat(np.where(unknown, 0.0, log10), bound[:-1])
+                rare_grams = _many(t.owner(bound)[unknown], keys[unknown])
                 h, at = _words(x)
+                doc = t.owner(at)
                 place, known = Trie._find(hot, h)
-                if len(h):
-                    doc = t.owner(at)
-                    base = np.bincount(doc, weights=np.where(known, value[place] if len(hot) else 0.0, 0.0), minlength=x.n)
-                    n_known = t.count_in(known, at)
-                    own, h = doc[~known], h[~known]
-                    order = np.lexsort((h, own))
-                    own, h = own[order], h[order]
-                    first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (own[1:] != own[:-1]))) if len(h) else np.zeros(0, np.int64)
-                    many = np.diff(np.append(first, len(h)))
-                    rare_at = np.append(0, np.cumsum(np.bincount(own[first], minlength=x.n)))
-                    rare, own = h[first], own[first]
-                else:
-                    base, n_known, rare, many, rare_at = np.zeros(x.n), np.zeros(x.n, np.int64), h, np.zeros(0, np.int64), np.zeros(x.n + 1, np.int64)
-                words = pa.StructArray.from_arrays([pa.array(t.as_long(rare)), pa.array(many.astype(np.int32))], ["key", "many"])
+                base = np.bincount(doc, weights=np.where(known, value[place] if len(hot) else 0.0, 0.0), minlength=x.n)
+                rare_words = _many(doc[~known], h[~known])
+                doc, key, many = (np.concatenate(c) for c in zip(rare_words, rare_grams, strict=True))
+                kind = np.repeat(np.array([0, 1], np.int32), [len(rare_words[0]), len(rare_grams[0])])
+                order = np.argsort(doc, kind="stable")
+                rare_at = np.append(0, np.cumsum(np.bincount(doc, minlength=x.n)))
+                rare = pa.StructArray.from_arrays([pa.array(kind[order]), pa.array(t.as_long(key[order])), pa.array(many[order].astype(np.int32))], ["kind", "key", "many"])
                 text_hash = t.span_hash(t.prefix_hash(x.data), x.offsets[:-1], x.offsets[1:])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(t.as_long(text_hash)), pa.array(np.diff(at) + 1), pa.array(n_known), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(rare_at.astype(np.int32)), words)],
-                    ["doc_id", "text_hash", "n_tokens", "hot_known", "hot_score", "score", "rare"],
+                    [batch.column("doc_id").slice(a, b - a), pa.array(t.as_long(text_hash)), pa.array(np.diff(at) + 1), pa.array(t.count_in(known, at)), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(rare_at.astype(np.int32)), rare)],
+                    ["doc_id", "text_hash", "n_tokens", "hot_known", "hot_score", "hot_bytes", "rare"],
                 )
 
     return run
@@ -237,40 +304,46 @@ def _score(shared):
 def score(docs: DataFrame, learn_from: Column, most_entries: int = 400_000, most_words: int = 300_000) -> DataFrame:
     """n_tokens, n_known, train_tokens, base_score and score of each document; learn_from marks those to learn from."""
     context = docs.sparkSession.sparkContext
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), learn_from.alias("learn"))
-    counts = stored(texts.where("learn").select("text").mapInArrow(_gather, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    words, grams = counts.where("kind = 0").select("key", "n"), counts.where("kind = 1").select("key", "n")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(learn_from, F.lit(False)).alias("learn"))
+    counts = texts.select("text", "learn").mapInArrow(_gather, "kind int, key long, n long, seen long")
+    counts = stored(counts.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen")))
+    words, grams = counts.where("kind = 0").select("key", "n"), counts.where("kind = 1").select("key", "n", "seen")
     summed = words.agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
     total, distinct = summed["total"] or 0, summed["distinct"]
-    levels, least = [], 1
-    for d in range(ORDER + 1):
-        level = grams if d == ORDER else grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-        level = stored(level) if d in (3, 4) else level
-        least = max(least, _threshold(level, most_entries))  # never lower than below, so symbol sets stay nested
-        levels.append(_arrays(level, least))
+    pairs = grams.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n"))
+    second = _arrays(pairs, "n")  # 65,536 rows at most
+    first = _count([(second[0] & np.uint64(0xFF), second[1])])
+    group = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
+    sorted_ = grams.repartition(group).sortWithinPartitions(group)
+    values = stored(sorted_.mapInArrow(_probabilities(context.broadcast([first, second])), "key long, seen long, value double"))
+    least_seen = _threshold(values.select(F.col("seen").alias("n")), (ORDER + 1) * most_entries)
+    table = _arrays(values.where(F.col("seen") >= least_seen), "value")
     least = _threshold(words, most_words)
-    hot, n_hot = _arrays(words, least)
+    hot, n_hot = _arrays(words.where(F.col("n") >= least), "n")
     end = F.lit(int(_END_WORD.astype(np.int64)))
-    shared = context.broadcast((levels, hot, n_hot, total, distinct))
-    base = stored(texts.select("doc_id", "text").mapInArrow(_score(shared), "doc_id long, text_hash long, n_tokens long, hot_known long, hot_score double, score double, rare array<struct<key:long,many:int>>"))
-    exploded = base.select("doc_id", "text_hash", F.posexplode("rare").alias("i", "word")).select("doc_id", "text_hash", "word.*", (F.col("i") == 0).cast("int").alias("first"))
-    rare = words.where((F.col("n") < least) & (F.col("key") != end)).select(F.col("key").alias("w_key"), F.col("n").alias("w_n"))
-    joined = exploded.join(rare, F.col("key") == F.col("w_key"), "left")
+    shared = context.broadcast((table, hot, n_hot, total, distinct))
+    base = stored(texts.select("doc_id", "text").mapInArrow(_score(shared), "doc_id long, text_hash long, n_tokens long, hot_known long, hot_score double, hot_bytes double, rare array<struct<kind:int,key:long,many:int>>"))
+    exploded = base.select("doc_id", "text_hash", F.posexplode("rare").alias("i", "item")).select("doc_id", "text_hash", "item.*", (F.col("i") == 0).cast("int").alias("first"))
+    rare_words = words.where((F.col("n") < least) & (F.col("key") != end)).select(F.lit(0).alias("w_kind"), F.col("key").alias("w_key"), F.col("n").alias("w_n"), F.lit(None).cast("double").alias("w_value"))
+    rare_grams = values.where(F.col("seen") < least_seen).select(F.lit(1).alias("w_kind"), F.col("key").alias("w_key"), F.lit(None).cast("long").alias("w_n"), F.col("value").alias("w_value"))
+    joined = exploded.join(rare_words.unionByName(rare_grams), (F.col("kind") == F.col("w_kind")) & (F.col("key") == F.col("w_key")), "left")
     norm = F.log10(F.lit(total + 0.5 * (distinct + 1)))
+    word = F.col("kind") == 0
     per = joined.groupBy(F.col("doc_id").alias("p_id"), F.col("text_hash").alias("p_hash")).agg(
         F.sum("first").alias("copies"),  # equal rows are summed together
-        F.sum(F.when(F.col("w_n").isNotNull(), F.col("many")).otherwise(0)).alias("known"),
-        F.sum(F.col("many") * (F.log10(F.coalesce("w_n", F.lit(0)) + 0.5) - norm)).alias("rest"),
+        F.sum(F.when(word & F.col("w_n").isNotNull(), F.col("many")).otherwise(0)).alias("known"),
+        F.sum(F.when(word, F.col("many") * (F.log10(F.coalesce("w_n", F.lit(0)) + 0.5) - norm))).alias("rest"),
+        F.sum(F.when(~word, F.col("many") * F.col("w_value"))).alias("bytes"),
     )
     end_count = words.where(F.col("key") == end).select("n").first()
     ends = end_count["n"] if end_count else 0
     out = base.drop("rare").join(per, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_hash") == F.col("p_hash")), "left")
-    known, rest = (F.coalesce(F.col(c) / F.col("copies"), F.lit(0.0)) for c in ("known", "rest"))
+    known, rest, bytes_ = (F.coalesce(F.col(c) / F.col("copies"), F.lit(0.0)) for c in ("known", "rest", "bytes"))
     return out.select(
         "doc_id",
         "n_tokens",
         (F.col("hot_known") + known + (1 if ends else 0)).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("hot_score") + rest + F.log10(F.lit(ends + 0.5)) - norm).alias("base_score"),
-        "score",
+        (F.col("hot_bytes") + bytes_).alias("score"),
     )
