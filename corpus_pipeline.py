@@ -7,7 +7,8 @@ stage's result to the shared folder and reads it again.
 1. quality: documents that the classifier scores under 0.3 go.
 2. line_dedup: aligned blocks that an earlier document holds are deleted; a
    document of which nothing is left goes; n_chars follows the text.
-3. jaccard: of each component of similar documents the smallest doc_id stays.
+3. jaccard: of each component of documents whose sets of five-word shingles
+   have a similarity of 0.8 or more the smallest doc_id stays.
 4. decontaminate: documents that hold a benchmark window go.
 5. mix: sources are drawn to their targets; columns size, source_size, target,
    copies, taken, shards and shuffle_key are added, and rows not drawn go.
@@ -48,7 +49,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = stored(jaccard.similar_components(docs))
+    found = stored(jaccard.similar_components(docs, k=5, percent=80))
     several = stored(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     kept = _without(docs, found.where("doc_id <> component_id").select("doc_id"), ["doc_id"])
     if not several.count():

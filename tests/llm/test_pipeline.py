@@ -66,3 +66,22 @@ def test_repeated_ids_leave_one_row(spark, folder):
     docs = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e"), (3, "x"), (None, None)], "doc_id long, text string").withColumns({})
     out = corpus_pipeline.jaccard_stage(spark, docs, folder).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in out) == [(False, 1), (False, 3), (True, 0)]
+
+
+def test_near_copies_from_four_fifths_go(spark, folder):
+    rng = random.Random(21)
+    words = [f"{prose(rng, 1)}{i}" for i in range(1000)]
+    changed = list(words)
+    for i in range(22):
+        changed[20 + 44 * i] = f"changed{i}"
+    texts = {1: words, 2: words[:820], 3: changed, 4: words[:780]}
+
+    def similarity(a, b, k):
+        one, two = ({tuple(x[i : i + k]) for i in range(len(x) - k + 1)} for x in (texts[a], texts[b]))
+        return len(one & two) / len(one | two)
+
+    assert all(similarity(1, i, 5) >= 0.8 and similarity(1, i, 4) < 0.85 for i in (2, 3))
+    assert similarity(1, 4, 5) < 0.8 and similarity(3, 4, 5) < 0.8 <= similarity(2, 4, 5)
+    pair = lambda *ids: spark.createDataFrame([(i, " ".join(texts[i])) for i in ids], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.jaccard_stage(spark, pair(1, 2, 3), folder).collect()] == [1]
+    assert sorted(r.doc_id for r in corpus_pipeline.jaccard_stage(spark, pair(1, 4), folder).collect()) == [1, 4]
