@@ -6,15 +6,19 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; only where none is set, as in local tests, a temporary one."""
+    """The checkpoint folder of the session; where none is set, a temporary one, which only a local master can share."""
     context = spark.sparkContext
     have = context._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracelake-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tracelake-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -27,6 +31,23 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def few(df: DataFrame, most: int) -> DataFrame:
+    """df, to be broadcast when its rows, counted here, are at most `most`."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names for helper columns that no column of a table has, in any case."""
+    have, out = {c.lower() for c in columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in have:
+            name += "_"
+        have.add(name)
+        out.append(name)
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete stored tables that no later step reads."""
     for df in tables:
