@@ -8,9 +8,15 @@ added, renders the last turn with two probe texts to find where its text
 stands inside the span, and marks the conversation when an output does not
 start with the one before (the template rewrites history).
 
-Rows stream through sorted partitions, one turn at a time, so a conversation
-of any length needs only the messages of ``history`` turns in memory: beyond
-that, prefixes are made of the first turn and the last ``history`` ones.
+Rows stream through sorted partitions, one turn at a time.  Prefixes are whole,
+whatever their length, so a rewrite however far back is found; rendering costs
+the square of a conversation's turns.  A template may declare ``memory``, a
+number of turns: what it renders for a turn then depends on the first turn and
+on that many before it at most, and prefixes are cut to those, for time and
+memory in proportion to the turns.  Nothing else cuts a prefix.
+
+A template that rewrites history has chunks that need not read back; the digest
+then has null digests of the conversation, and ``rewrites`` set.
 
 Defined cases: null text or role reads as empty; a null conv_id is one
 conversation; turns with equal numbers are ordered by role, then text;
@@ -36,8 +42,11 @@ class InstructTemplate:
 
     Inside texts, a backslash is doubled and ``<`` and ``[`` get one behind
     them, so no control string can stand in a text and every text can be read back.
+    A turn is rendered the same whatever stands before it.
     """
 
+    memory = 1
+
     def escape(self, text: str) -> str:
         return re.sub(r"[<\[]|\\", lambda m: "\\\\" if m[0] == "\\" else m[0] + "\\", text)
 
@@ -79,16 +88,16 @@ def _common(a: str, b: str) -> int:
 class Incremental:
     """The spans of one conversation's turns, fed turn by turn."""
 
-    def __init__(self, template, history: int):
-        self.template, self.history = template, history
+    def __init__(self, template):
+        self.template, self.memory = template, getattr(template, "memory", None)
         self.messages: list[tuple[str, str]] = []
         self.out, self.at, self.rewrites, self.position = template.render([]), 0, False, 0
 
     def feed(self, role: str, text: str) -> tuple[str, int, int, int, int]:
         """The chunk that this turn adds, its span, and the span of its text."""
         render = self.template.render
-        if len(self.messages) > self.history:
-            self.messages = [self.messages[0], *self.messages[-self.history :]][: self.history + 1]
+        if self.memory is not None and len(self.messages) > self.memory + 1:
+            self.messages = [self.messages[0], *self.messages[len(self.messages) - self.memory :]]
             self.out = render(self.messages)
         now = render([*self.messages, (role, text)])
         shared = len(self.out)
@@ -105,14 +114,14 @@ class Incremental:
         return chunk, start, self.at, min(start + head, self.at), max(start + head, self.at - tail)
 
 
-def _format(template, loss_roles: frozenset[str], history: int):
+def _format(template, loss_roles: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = object(), None
         for batch in batches:
             rows = []
             for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                 if conv != now or state is None:
-                    now, state = conv, Incremental(template, history)
+                    now, state = conv, Incremental(template)
                 role = role or ""
                 chunk, *spans = state.feed(role, text or "")
                 rows.append((conv, state.position - 1, role, chunk, *spans, role in loss_roles, state.rewrites))
@@ -124,12 +133,12 @@ def _format(template, loss_roles: frozenset[str], history: int):
     return run
 
 
-def format_turns(conversations: DataFrame, template=None, loss_roles: frozenset[str] = frozenset({"assistant"}), history: int = 64) -> DataFrame:
+def format_turns(conversations: DataFrame, template=None, loss_roles: frozenset[str] = frozenset({"assistant"})) -> DataFrame:
     """One row per turn, in order within partitions that hold whole conversations: its rendered chunk, the chunk's
     and the text's span in the formatted conversation, whether it bears loss, and whether the template has rewritten history so far."""
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInArrow(_format(template or InstructTemplate(), frozenset(loss_roles), history), _TURNS)
+    return dealt.mapInArrow(_format(template or InstructTemplate(), frozenset(loss_roles)), _TURNS)
 
 
 _DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites boolean"
@@ -142,7 +151,8 @@ def _digest(template):
 
         def close():
             if state:
-                done.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5]))
+                read = not state[5]
+                done.append((now, state[0], state[1].hexdigest() if read else None, state[2] if read else None, state[3].hexdigest() if read else None, state[4], state[5]))
 
         def out():
             columns = list(zip(*done, strict=True)) if done else [[]] * 7
@@ -157,15 +167,17 @@ def _digest(template):
                 if position == 0:
                     close()
                     now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, False]
-                role, text = template.read(chunk)
                 state[0] += 1
+                state[4] += len(chunk)
+                state[5] |= rewrites
+                if state[5]:
+                    continue
+                role, text = template.read(chunk)
                 state[1].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                 if loss:
                     under = template.unescape(chunk[a - start : b - start])
                     state[2] += len(under)
                     state[3].update(under.encode("utf-8", "surrogatepass"))
-                state[4] += len(chunk)
-                state[5] = rewrites
             if len(done) >= 1000:
                 yield out()
         close()
