@@ -9,8 +9,9 @@ draws of all sources are then split among output shards by a binary tree: at
 each node the left half gets a multivariate hypergeometric sample of the
 sources' quotas (an urn is drawn from, one block at a time, with hashed
 uniforms), down to exact quotas for each (shard, source).  Shards take
-disjoint runs of each source's permuted draws; ``shuffle_key`` orders the
-rows inside a shard.
+disjoint runs of each source's permuted draws.  ``orders`` has a seeded hash for
+each draw of a document; ``draws`` deals the draws to their shards and shuffles
+each locally by it, and ``write_shards`` writes them as files in that order.
 
 Work on documents is one hash aggregation by (source, block), a window inside
 the one cut block of each source, an aggregation for the document that fills
@@ -19,8 +20,9 @@ per source.
 
 Defined cases: null text has size 0; null source is a source of its own,
 last; a source of size 0 has target 0 and takes nothing; repeated rows are
-documents of their own, taken together or not at all in a cut; an empty
-table gives an empty result.
+documents of their own, taken together or not at all in a cut; other columns
+are carried, ones named as the results are replaced; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ._store import stored
 
+RESULTS = ("size", "source_size", "target", "copies", "taken", "shards", "orders")
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -99,12 +102,13 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most_times: float = 3.0, shard_levels: int = 3, blocks: int = 1024, seed: int = 7, broadcast_sources: int = 200) -> DataFrame:
-    """docs with size, source_size, target, copies, taken (copies * size), shards (the output shard of each copy) and shuffle_key.
+    """docs with size, source_size, target, copies, taken (copies * size), and shards and orders: each copy's shard and its place there.
 
     The plan has a row per source and block.  With up to broadcast_sources sources, counted here from the source
     column alone, it has at most broadcast_sources * blocks rows and is broadcast; with more it is joined by shuffle.
     """
-    docs = docs.drop("size", "source_size", "target", "copies", "taken", "shards", "shuffle_key", "_key", "_block")
+    docs = docs.drop(*RESULTS)
+    docs = docs.select(F.struct("*").alias("row"), "doc_id", "text", "source")  # no name of another column is seen below
     small = docs.select("source").distinct().limit(broadcast_sources + 1).count() <= broadcast_sources
     hint = F.broadcast if small else (lambda x: x)
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
@@ -152,9 +156,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most_times: flo
     filler = F.coalesce(mark == F.col("filler"), F.lit(False))
     copies = F.col("base") + (F.col("whole") | inside | filler).cast("long")
     drawn = F.slice("plan_shards", F.lit(1), F.when(filler, F.col("base")).otherwise(F.col("copies")).cast("int"))
-    return joined.withColumn("copies", copies).select(
-        *docs.columns, "size", "source_size", "target", "copies",
-        (F.col("copies") * F.col("size")).alias("taken"),
-        F.when(filler, F.concat(drawn, F.array("cut_shard"))).otherwise(drawn).alias("shards"),
-        F.xxhash64(F.lit(seed + 1), "_key").alias("shuffle_key"),
-    )
+    joined = joined.withColumn("copies", copies).withColumn("shards", F.when(filler, F.concat(drawn, F.array("cut_shard"))).otherwise(drawn))
+    orders = F.transform("shards", lambda shard, i: F.xxhash64(F.lit(seed + 1), "_key", shard, i))
+    return joined.select("row.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "shards", orders.alias("orders"))
+
+
+def draws(mixed: DataFrame) -> DataFrame:
+    """One row per draw of a mix, with its shard and its place (order) there; every shard is shuffled locally.
+
+    A shard is dealt by ranges of its places, which are hashes, so a task has a part of a shard however large it is.
+    """
+    one = F.explode(F.arrays_zip("shards", "orders")).alias("draw")
+    rows = mixed.select(*[F.col(f"`{c}`") for c in mixed.columns if c not in ("shards", "orders", "shard", "order")], one)
+    rows = rows.select("*", F.col("draw.shards").alias("shard"), F.col("draw.orders").alias("order")).drop("draw")
+    return rows.repartitionByRange("shard", "order").sortWithinPartitions("shard", "order")
+
+
+def write_shards(mixed: DataFrame, path: str) -> None:
+    """The draws as Parquet files by shard, in shuffled order."""
+    draws(mixed).write.partitionBy("shard").parquet(path)
