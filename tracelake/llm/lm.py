@@ -108,16 +108,19 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _threshold(counts: DataFrame, most: int) -> int:
-    """The least n so that at most `most` rows have n or more; found from how many rows have each small n."""
-    small = F.least("n", F.lit(100_000))
-    rows = counts.groupBy(small.alias("n")).agg(F.count("*").alias("many")).collect()  # 100,000 rows at most
-    total, least = 0, 1
-    for r in sorted(rows, key=lambda r: -r["n"]):
+    """An n so that at most `most` rows have n or more, the least one up to the width of a step; no more than that many ever.
+
+    Steps are single counts up to 4,096 and 64th parts of a doubling beyond, so there are about 7,500 at most.
+    """
+    step = F.when(F.col("n") < 4096, F.col("n")).otherwise(F.floor(F.log2("n") * 64) + 4096)
+    rows = counts.groupBy(step.alias("step")).agg(F.count("*").alias("many"), F.min("n").alias("low"), F.max("n").alias("high")).collect()
+    total, least = 0, None
+    for r in sorted(rows, key=lambda r: -r["high"]):
         total += r["many"]
         if total > most:
-            return r["n"] + 1
-        least = r["n"]
-    return min(least, 1)
+            return r["high"] + 1
+        least = r["low"]
+    return 0 if least is None else min(least, 1)
 
 
 def _arrays(rows: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
