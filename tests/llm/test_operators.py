@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tracelake.llm import _text as t
@@ -119,6 +120,63 @@ def test_jaccard_blocks_meet_in_pairs(spark):
     assert {c for *_, c in small} == {0}
 
 
+def brute_components(table, k=4, percent=85):
+    """(doc_id, set size, smallest linked doc_id) of each row, by comparing all pairs."""
+    sets = []
+    for _, x in table:
+        w = re.findall(WORD, low(x or ""))
+        sets.append({tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    group = list(range(len(table)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(table)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            same = table[i][0] is not None and table[i][0] == table[j][0] and sets[i] and sets[j]
+            if same or both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                group[root(i)] = root(j)
+    least = {}
+    for i, (doc, _) in enumerate(table):
+        if doc is not None:
+            least[root(i)] = min(doc, least.get(root(i), doc))
+    return [(doc, len(sets[i]), least.get(root(i)) if sets[i] else doc) for i, (doc, _) in enumerate(table)]
+
+
+@pytest.mark.parametrize("options", [{}, {"block": 3, "most_ids": 0}, {"block": 20, "sampled_shingles": 100_000_000, "most_frequent": 40}])
+def test_jaccard_near_copies_of_every_degree(spark, options):
+    """Copies with up to 14 changed words link with some of the others only; some ids are null or repeat with other texts."""
+    rng = random.Random(12)
+    table = []
+    for i in range(120):
+        copy = prose(random.Random(5), 140).split(" ")
+        for _ in range(rng.randint(0, 14)):
+            copy[rng.randrange(140)] = f"w{rng.randrange(30)}"
+        table.append((None if i % 40 == 7 else i, " ".join(copy)))
+    table += [(200 + i, prose(rng, 140)) for i in range(20)] + [(220 + i % 3, prose(random.Random(i % 4), 30)) for i in range(12)]
+    table += [(3, prose(rng, 50)), (201, table[5][1]), (None, "only null here"), (None, "only null here"), (None, None), (300, "a b"), (301, "A b"), (302, "  ")]
+    got = [tuple(r) for r in jaccard.similar_components(spark.createDataFrame(table, "doc_id long, text string"), **options).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] is None, r[2] or 0)
+    want = brute_components(table)
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert 20 < len({c for *_, c in want}) < 120
+
+
+def test_links_inside_a_cell_join_what_all_pairs_join():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        m = int(rng.integers(2, 30))
+        sets = [np.unique(rng.choice(14, 12)).astype(np.uint64) for _ in range(m)]
+        label = rng.integers(0, 6, m) if rng.random() < 0.5 else np.arange(m)
+        joined = lambda links, label=label, m=m: jaccard._flood(m, *(np.array(c, np.int64) for c in zip(*links, *[(int(np.argmax(label == label[x])), x) for x in range(m)], strict=True)))
+        pairs = [(x, y) for x in range(m) for y in range(x) if 100 * len(np.intersect1d(sets[x], sets[y])) >= 85 * len(np.union1d(sets[x], sets[y]))]
+        out = jaccard.linked(sets, label, 85)
+        assert (joined(out) == joined(pairs)).all() and len(out) < m
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
@@ -158,40 +216,103 @@ def test_loser_tree_merges_with_known_prefixes():
         assert all(n == suffixes._common(a, b, 0) for a, (n, b, _) in zip(keys, out[1:], strict=False))
 
 
-def test_alignment(docs, rows):
-    def words(line):
-        return re.findall(WORD, low(line))
+def longest_rising(pairs):
+    """By comparing all pairs; of several longest ones the one whose members come last, judged from the end."""
+    size = []
+    for i, (_, y) in enumerate(pairs):
+        size.append(1 + max((size[j] for j in range(i) if pairs[j][1] < y), default=0))
+    out, want, y = [], max(size, default=0), float("inf")
+    for i in range(len(pairs) - 1, -1, -1):
+        if size[i] == want and pairs[i][1] < y:
+            out, want, y = [pairs[i], *out], want - 1, pairs[i][1]
+    return out
+
 
-    seen, first_text = set(), {}
-    unique = []
-    for i, x, _ in sorted(rows, key=lambda r: r[0]):
-        if (i, x) not in seen:
-            seen.add((i, x))
-            unique.append((i, x or ""))
-    content = {i: [(p, tuple(words(line))) for p, line in enumerate(x.split("\n")) if words(line)] for i, x in unique}
-    keys: dict = {}
-    for i, ls in content.items():
+def plain_patience(one, two, a=0, c=0):
+    """Patience diff by the textbook, in slices: how many lines match, and where."""
+    head = 0
+    while head < min(len(one), len(two)) and one[head] == two[head]:
+        head += 1
+    if head:
+        return [(a + i, c + i) for i in range(head)] + plain_patience(one[head:], two[head:], a + head, c + head)
+    tail = 0
+    while tail < min(len(one), len(two)) and one[-1 - tail] == two[-1 - tail]:
+        tail += 1
+    if tail:
+        return plain_patience(one[:-tail], two[:-tail], a, c) + [(a + len(one) - tail + i, c + len(two) - tail + i) for i in range(tail)]
+    unique = longest_rising([(i, two.index(x)) for i, x in enumerate(one) if one.count(x) == 1 == two.count(x)])
+    if unique:
+        out, i, j = [], 0, 0
+        for x, y in unique:
+            out += plain_patience(one[i:x], two[j:y], a + i, c + j) + [(a + x, c + y)]
+            i, j = x + 1, y + 1
+        return out + plain_patience(one[i:], two[j:], a + i, c + j)
+    nth = {(x, two[:j].count(x)): j for j, x in enumerate(two)}
+    return [(a + i, c + j) for i, j in longest_rising([(i, nth[x, one[:i].count(x)]) for i, x in enumerate(one) if (x, one[:i].count(x)) in nth])]
+
+
+def brute_alignment(table, rare):
+    """The (deleted, moved) lines of each (doc_id, text), from texts compared in plain Python."""
+    docs = sorted({(i, x or "") for i, x in table}, key=lambda r: (r[0] is not None, r[0] or 0))
+    words = lambda line: tuple(re.findall(WORD, low(line)))
+    content = [[(p, words(line)) for p, line in enumerate(x.split("\n")) if words(line)] for _, x in docs]
+    holders: dict = {}
+    for d, ls in enumerate(content):
         for a in range(len(ls)):
-            n, b = 0, a
+            b, n = a, 0
             while b < len(ls) and n < 20:
-                n += len(ls[b][1])
-                b += 1
+                n, b = n + len(ls[b][1]), b + 1
             if n >= 20:
-                keys.setdefault(tuple(x[1] for x in ls[a:b]), []).append(i)
-    gone: dict[int, set[int]] = {}
-    for holders in keys.values():
-        for later in set(holders) - {min(holders)}:
-            one, two = content[later], content[min(holders)]
-            out = alignment.common_blocks([x[1] for x in one], [x[1] for x in two], [len(x[1]) for x in one], 20)
-            gone.setdefault(later, set()).update(one[x][0] for x in out)
+                holders.setdefault(tuple(w for _, w in ls[a:b]), []).append((d, a, b))
+    aligned, runs = [set() for _ in docs], [set() for _ in docs]
+    for held in holders.values():
+        for d, a, b in held:
+            if d == held[0][0]:
+                continue
+            runs[d] |= {p for p, _ in content[d][a:b]}
+            for e in {e for e, *_ in held if e < d} if len(held) <= rare else {held[0][0]}:
+                found = plain_patience([w for _, w in content[d]], [w for _, w in content[e]])
+                while found:
+                    n = next((k for k in range(1, len(found)) if found[k] != (found[0][0] + k, found[0][1] + k)), len(found))
+                    block, found = [content[d][i] for i, _ in found[:n]], found[n:]
+                    if sum(len(w) for _, w in block) >= 20:
+                        aligned[d] |= {p for p, _ in block}
+    return {doc: (a | r, r - a) for doc, a, r in zip(docs, aligned, runs, strict=True)}
+
+
+@pytest.mark.parametrize("rare", [8, 2])
+def test_alignment(spark, rows, rare):
+    rng = random.Random(11)
+    lines = [prose(rng, rng.choice([3, 8, 12, 25])) for _ in range(30)]
+    table = [(i, x) for i, x, _ in rows]
+    for i in range(40):  # blocks of the same lines in all orders, with lines of their own between them
+        parts = [lines[k : k + rng.randint(1, 5)] for k in rng.sample(range(28), 4)]
+        table.append((400 + i, "\n".join(x for part in parts for x in [*part, prose(rng, 5), ""])))
+    passages = prose(rng, 25), prose(rng, 25)
+    table += [(500, "\n".join(passages)), (501, "\n".join(passages[::-1])), (502, "\n".join(passages[::-1])), (None, "\n".join(passages)), (503, None)]
+    df = spark.createDataFrame([(i, x, "c", 7) for i, x in table], "doc_id long, text string, _places string, `_HASH` long")
+    out = alignment.dedup_lines(df, rare=rare)
+    assert out.columns == ["doc_id", "text", "_places", "_HASH", "n_lines", "n_deleted", "n_partners", "n_moved"]
     want = []
-    for i, x, _ in rows:
-        kept = x if not gone.get(i) else "\n".join(line for p, line in enumerate(x.split("\n")) if p not in gone[i])
-        want.append((i, kept, len(gone.get(i, ()))))
-    got = [(r.doc_id, r.text, r.n_deleted) for r in alignment.dedup_lines(docs).collect()]
-    key = lambda r: (r[0], r[1] or "")
+    brute = brute_alignment(table, rare)
+    for i, x in table:
+        gone, moved = brute[i, x or ""]
+        want.append((i, x if not gone else "\n".join(line for p, line in enumerate(x.split("\n")) if p not in gone), len(gone), len(moved), "c", 7))
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
+    got = [(r.doc_id, r.text, r.n_deleted, r.n_moved, r._places, r._HASH) for r in out.collect()]
     assert sorted(got, key=key) == sorted(want, key=key)
-    assert any(n for *_, n in want)
+    assert sum(r[2] for r in want) > 100 and any(r[3] for r in want)
+    few = alignment.dedup_lines(df, rare=rare, most_broadcast=0)
+    assert sorted(((r.doc_id, r.text) for r in few.collect()), key=key) == sorted(((r[0], r[1]) for r in want), key=key)
+
+
+def test_alignment_of_a_hot_document_and_long_texts(spark):
+    rng = random.Random(2)
+    lines = [prose(rng, 22) for _ in range(3000)]
+    table = [(i, lines[0] + f"\nown {i}\n" + prose(rng, 20)) for i in range(60)] + [(100, "\n".join(lines)), (101, "\n".join(lines[1:]))]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    gone = {r.doc_id: len(r.places) for r in alignment.deleted_lines(df, rare=2, hot_pairs=7).collect()}
+    assert gone == {**dict.fromkeys(range(1, 60), 1), 100: 1, 101: 2999}
 
 
 def test_patience():
@@ -202,6 +323,7 @@ def test_patience():
         a, b = [rng.choice("abcd") for _ in range(rng.randint(0, 12))], [rng.choice("abcde") for _ in range(rng.randint(0, 12))]
         out = alignment.patience(a, b)
         assert all(a[i] == b[j] for i, j in out) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(out, out[1:], strict=False))
+        assert out == plain_patience(a, b)
 
 
 @pytest.mark.parametrize("broadcast_windows", [200_000, 0])
@@ -253,10 +375,78 @@ def test_mixing(spark, docs, rows):
         assert r.taken == r.copies * r.size <= 3 * r.size and len(r.shards) == r.copies
     for s in order:
         assert abs(sum(r.taken for r in out if r.source == s) - target[s]) <= 60
-    key = lambda r: (r.doc_id, r.copies, r.shuffle_key)
+    key = lambda r: (r.doc_id, r.copies, r.shards, r.orders)
     assert sorted(map(key, out)) == sorted(map(key, mixing.mix(docs.repartition(7), broadcast_sources=0).collect()))
 
 
+def xx(*parts, seed=42):
+    """Spark's chained 64-bit hash."""
+    for p in parts:
+        if p is not None:
+            raw = p.encode() if isinstance(p, str) else p.to_bytes(*((4, "little") if isinstance(p, Int) else (8, "little")), signed=True)
+            seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+class Int(int):
+    """A number that Spark hashes as four bytes."""
+
+
+@pytest.mark.parametrize("blocks", [1024, 8, 1])
+def test_mixing_draws_what_plain_python_draws(spark, blocks):
+    rng = random.Random(31)
+    table = [(i, prose(rng, rng.choice([0, 1, 5, 60, 200])) if i % 17 else None, rng.choice(["a", "b", "b", "b", "c", None])) for i in range(300)]
+    table += [(1000 + i, "one two", "tiny") for i in range(2)]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in table], "doc_id long, text string, source string, base int, left int, whole int, cut int")
+    mixed = mixing.mix(df, blocks=blocks)
+    out = {r.doc_id: r for r in mixed.collect()}
+    assert len(out) == len(table) and out[0].base == 1 and out[0]["left"] == 2
+    copies = {}
+    for source in {s for *_, s in table}:
+        own = [(xx(Int(7), i, x), i, len(re.findall(WORD, x or ""))) for i, x, s in table if s == source]
+        total, target = sum(n for *_, n in own), out[next(i for _, i, _ in own)].target
+        base = int(target / total + 1e-9) if total else 0
+        left = round(target - base * total)
+        copies |= {i: base for _, i, _ in own}
+        block = lambda key: ((key % (1 << 64)) >> 20) % blocks
+        for b in sorted({block(k) for k, *_ in own}):
+            docs_of = sorted(r for r in own if block(r[0]) == b)
+            if left <= 0:
+                break
+            size = sum(n for *_, n in docs_of)
+            if size <= left:
+                left -= size
+                for _, i, _ in docs_of:
+                    copies[i] += 1
+                continue
+            gap, last = left, None
+            for r in docs_of:
+                if r[2] > gap:
+                    break
+                gap, last = gap - r[2], r
+                copies[r[1]] += 1
+            open_ = [r for r in own if block(r[0]) > b or block(r[0]) == b and (last is None or r[:2] > last[:2])]
+            fill = min(((abs(n - gap), k, i) for k, i, n in open_ if n and abs(n - gap) < gap), default=None)
+            if fill:
+                copies[fill[2]] += 1
+            break
+    assert {i: r.copies for i, r in out.items()} == copies
+    rows = mixing.draws(mixed).collect()
+    assert Counter(r.doc_id for r in rows) == Counter({i: n for i, n in copies.items() if n})
+    by_shard = {k: [r for r in rows if r.shard == k] for k in range(8)}
+    for own in by_shard.values():
+        assert [r.order for r in own] == sorted(r.order for r in own)
+        assert len(own) < 10 or [r.doc_id for r in own] != sorted(r.doc_id for r in own)
+
+
+def test_shards_are_written_in_shuffled_order(spark, docs, tmp_path):
+    mixed = mixing.mix(docs)
+    mixing.write_shards(mixed, f"{tmp_path}/shards")
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert back.count() == mixed.agg(F.sum("copies")).first()[0]
+    assert {r.shard for r in back.select("shard").distinct().collect()} == set(range(8))
+
+
 def test_splitting_tree_is_exact(spark):
     quotas = spark.createDataFrame([("a", 37), ("b", 0), (None, 100)], "source string, quota long")
     rows = mixing.split_quotas(quotas, 3, 5).collect()
@@ -289,20 +479,56 @@ def test_chat_round_trip(spark):
 class Rewriting(chat.InstructTemplate):
     """Marks the last turn, and so rewrites the one before."""
 
+    memory = None
+
     def render(self, messages):
         return "".join(self._turn(*m) for m in messages[:-1]) + ("!" + self._turn(*messages[-1]) if messages else "")
 
 
 def test_rewriting_templates_are_found():
-    state = chat.Incremental(Rewriting(), 8)
+    state = chat.Incremental(Rewriting())
     for role in ("user", "assistant", "user"):
         state.feed(role, "hello")
     assert state.rewrites
-    state = chat.Incremental(chat.InstructTemplate(), 2)
+    state = chat.Incremental(chat.InstructTemplate())
     chunks = [state.feed("user" if i % 2 == 0 else "assistant", f"text {i}")[0] for i in range(20)]
     assert "".join(chunks) == chat.InstructTemplate().render([("user" if i % 2 == 0 else "assistant", f"text {i}") for i in range(20)])
 
 
+class Numbered(chat.InstructTemplate):
+    """Numbers its turns, so each depends on how many stand before it; drops turn 5 once there are `most`."""
+
+    memory = None
+
+    def __init__(self, most=10**9):
+        self.most = most
+
+    def render(self, messages):
+        return "".join(f"{i}:" + self._turn(*m) for i, m in enumerate(messages) if i != 5 or len(messages) < self.most)
+
+    def read(self, chunk):
+        return super().read(chunk.partition(":")[2])
+
+
+def test_prefixes_are_whole_in_long_conversations(spark):
+    turns = [(1, i, "user" if i % 2 == 0 else "assistant", f"text <{i}>") for i in range(200)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    rows = sorted(chat.format_turns(df, Numbered()).collect(), key=lambda r: r.position)
+    assert "".join(r.chunk for r in rows) == Numbered().render([(r, x) for *_, r, x in turns])
+    assert [chat.InstructTemplate().unescape(r.chunk[r.text_start - r.span_start : r.text_end - r.span_start]) for r in rows] == [x for *_, x in turns]
+    assert not any(r.rewrites for r in rows)
+    late = chat.digest(chat.format_turns(df, Numbered(most=150)), Numbered()).first()
+    assert late.rewrites and late.turns_sha256 is None and late.n_turns == 200
+
+
+def test_a_threshold_is_a_bound(spark):
+    counts = lambda *n: spark.createDataFrame([(x,) for x in n], "n long")
+    rng = random.Random(1)
+    for df, most in ((counts(*[200_000] * 50), 10), (counts(*range(200_000, 200_050)), 10), (counts(*[rng.randrange(1, 10**6) for _ in range(500)]), 100), (counts(5, 5, 5), 2)):
+        assert df.where(F.col("n") >= lm._threshold(df, most)).count() <= most
+    assert lm._threshold(counts(3, 4), 5) <= 3 and lm._threshold(counts(1, 2, 2, 9), 3) == 2
+
+
 def test_escape_round_trip():
     rng = random.Random(6)
     template = chat.InstructTemplate()

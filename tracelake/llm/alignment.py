@@ -2,13 +2,20 @@
 
 Lines are normalised (A-Z lower-cased, white space collapsed) and hashed.  A
 document's link keys are the hashes of the shortest runs of lines, from each
-line on, that have ``least_words`` words: long lines are keys by themselves,
-short lines, which are common, only together with what follows them.  A key
-that several documents hold is shared; each holder is paired with the key's
-earliest holder, so a key gives one pair fewer than it has holders, however
-many they are.  Every pair is aligned by patience diff, and aligned common
-blocks of at least ``least_words`` words are deleted from the later document.
-The earliest holder of a block has no earlier one, so one copy always stays.
+line on, that have ``least_words`` words: a long line is a key by itself, short
+lines, which are common, only together with what follows them.  Keys that
+several documents hold tell which documents overlap.  A rare key, one that
+occurs at most ``rare`` times in all, pairs each holder with every earlier one.
+A frequent key pairs each holder with the key's earliest holder, so it gives
+one pair fewer than it has holders, however many they are.  Every pair is
+aligned by patience diff, and aligned common blocks of at least ``least_words``
+words are deleted from the later document.
+
+An alignment keeps the order of lines, so it leaves a block that was moved, and
+a frequent key's holder is not aligned with all others.  What is left of that
+kind goes by an exact step: a run of lines whose key an earlier document holds
+is deleted where the alignments have not deleted it; ``n_moved`` counts its lines.
+So of every run of ``least_words`` words one copy stays, the earliest holder's.
 
 Earlier means the smaller doc_id (then text hash).  Blocks are compared with
 the earlier document as it came, not with what is left of it.
@@ -32,7 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as t
-from ._store import stored
+from ._store import few, stored, unused
+from .decontaminate import let
 
 
 def _hashed(least_words: int):
@@ -64,8 +72,9 @@ def _hashed(least_words: int):
                         ids.slice(a, b - a), pa.array(t.as_long(text_hash)),
                         t.list_column(t.as_long(line[full]), at, pa.int64()), t.list_column(words[full].astype(np.int32), at, pa.int32()),
                         t.list_column(place.astype(np.int32), at, pa.int32()), t.list_column(t.as_long(key), key_at, pa.int64()),
+                        t.list_column((own - at[:-1][doc[own]]).astype(np.int32), key_at, pa.int32()), t.list_column((end[own] - own).astype(np.int32), key_at, pa.int32()),
                     ],
-                    ["doc_id", "text_hash", "lines", "words", "places", "keys"],
+                    ["doc_id", "text_hash", "lines", "words", "places", "keys", "first", "size"],
                 )
 
     return run
@@ -164,45 +173,74 @@ def _aligned(least_words: int):
     return run
 
 
-def _text_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b, x in t.slices(batch.column("text")):
-            h = t.span_hash(t.prefix_hash(x.data), x.offsets[:-1], x.offsets[1:])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in batch.schema.names), pa.array(t.as_long(h))], [*batch.schema.names, "_hash"])
+def _text_hash(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, x in t.slices(batch.column("text")):
+                h = t.span_hash(t.prefix_hash(x.data), x.offsets[:-1], x.offsets[1:])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in batch.schema.names), pa.array(t.as_long(h))], [*batch.schema.names, name])
 
+    return run
 
-def deleted_lines(docs: DataFrame, least_words: int = 20) -> DataFrame:
-    """(doc_id, text_hash, places, n_partners): the lines to delete, counted from 0, of each document that loses some."""
+
+def deleted_lines(docs: DataFrame, least_words: int = 20, rare: int = 8, hot_pairs: int = 1000, most_broadcast: int = 1_000_000) -> DataFrame:
+    """(doc_id, text_hash, places, n_partners, n_moved): the lines to delete, counted from 0, of each document that loses some."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kinds = "doc_id long, text_hash long, lines array<long>, words array<int>, places array<int>, keys array<long>"
+    kinds = "doc_id long, text_hash long, lines array<long>, words array<int>, places array<int>, keys array<long>, first array<int>, size array<int>"
     hashed = stored(texts.mapInArrow(_hashed(least_words), kinds).where(F.size("lines") > 0).dropDuplicates(["doc_id", "text_hash"]).withColumn("id", F.struct("doc_id", "text_hash")))
-    keys = hashed.select("id", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("earliest"), F.max("id").alias("latest")).where("earliest <> latest").drop("latest")
-    pairs = keys.join(shared, "key").where("id <> earliest").select("id", "earliest").distinct()
-    joined = pairs.join(hashed.select("id", "doc_id", "text_hash", "lines", "words", "places"), "id")
-    joined = joined.join(hashed.select(F.col("id").alias("earliest"), F.col("lines").alias("other")), "earliest")
-    aligned = joined.select("doc_id", "text_hash", "lines", "words", "places", "other").mapInArrow(_aligned(least_words), "doc_id long, text_hash long, places array<int>")
-    return aligned.groupBy("doc_id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"), F.count("*").alias("n_partners"))
-
-
-def dedup_lines(docs: DataFrame, least_words: int = 20, most_broadcast: int = 2_000_000) -> DataFrame:
-    """docs with text less the deleted lines, and n_lines, n_deleted, n_partners.
+    keys = hashed.select("id", F.explode(F.arrays_zip("keys", "first", "size")).alias("x")).select("id", F.col("x.keys").alias("key"), "x.first", "x.size")
+    shared = keys.groupBy("key").agg(F.min("id").alias("earliest"), F.max("id").alias("latest"), F.count("*").alias("occurs")).where("earliest <> latest").drop("latest")
+    held = stored(keys.join(shared, "key"))
+    # rare keys: every two holders; frequent ones: each holder with the earliest
+    holders = held.where(F.col("occurs") <= rare).groupBy("key").agg(F.collect_set("id").alias("ids"))
+    every = holders.select("ids", F.explode("ids").alias("id")).select("id", F.explode("ids").alias("earlier")).where("earlier < id")
+    first = held.where((F.col("occurs") > rare) & (F.col("id") != F.col("earliest"))).select("id", F.col("earliest").alias("earlier"))
+    pairs = stored(every.unionByName(first).distinct())
+    # a document that is the earlier one of very many pairs is copied for each `hot_pairs` of them
+    hot = pairs.groupBy(F.col("earlier").alias("h_id")).agg(F.ceil(F.count("*") / hot_pairs).cast("int").alias("copies")).where("copies > 1")
+    hot = few(stored(hot), most_broadcast)
+    copies = F.coalesce("copies", F.lit(1))
+    dealt = pairs.join(hot, F.col("earlier") == F.col("h_id"), "left").select("id", "earlier", F.pmod(F.xxhash64("id"), copies).cast("int").alias("part"))
+    others = hashed.join(pairs.select(F.col("earlier").alias("id")).distinct(), "id", "left_semi").join(hot, F.col("id") == F.col("h_id"), "left")
+    others = others.select(F.col("id").alias("earlier"), F.col("lines").alias("other"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("part"))
+    joined = dealt.join(hashed.select("id", "doc_id", "text_hash", "lines", "words", "places"), "id").join(others, ["earlier", "part"])
+    aligned = stored(joined.select("doc_id", "text_hash", "lines", "words", "places", "other").mapInArrow(_aligned(least_words), "doc_id long, text_hash long, places array<int>"))
+    lines = aligned.select("doc_id", "text_hash", F.explode("places").alias("place")).distinct()
+    # runs that an earlier document holds, whatever the alignments have found
+    runs = held.where("id <> earliest").groupBy("id").agg(F.collect_set(F.struct("first", "size")).alias("runs"))
+    run_lines = runs.join(hashed.select("id", "doc_id", "text_hash", "places"), "id")
+    run_lines = run_lines.select("doc_id", "text_hash", F.explode(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.slice("places", r["first"] + 1, r["size"]))))).alias("place"))
+    both = lines.withColumn("by_run", F.lit(0)).unionByName(run_lines.withColumn("by_run", F.lit(1)))
+    both = both.groupBy("doc_id", "text_hash", "place").agg(F.min("by_run").alias("moved"))
+    gone = both.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("place")).alias("places"), F.sum("moved").alias("n_moved"))
+    partners = aligned.groupBy(F.col("doc_id").alias("p_id"), F.col("text_hash").alias("p_hash")).agg(F.count("*").alias("n_partners"))
+    out = gone.join(partners, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_hash") == F.col("p_hash")), "left")
+    return out.select("doc_id", "text_hash", "places", F.coalesce("n_partners", F.lit(0)).cast("long").alias("n_partners"), "n_moved")
+
+
+RESULTS = ("n_lines", "n_deleted", "n_partners", "n_moved")
+
+
+def dedup_lines(docs: DataFrame, least_words: int = 20, rare: int = 8, most_broadcast: int = 1_000_000) -> DataFrame:
+    """docs with text less the deleted lines, and n_lines, n_deleted, n_partners, n_moved.
 
     The deletions are broadcast when their rows and lines, counted beforehand, are at most most_broadcast.
     """
-    gone = stored(deleted_lines(docs, least_words))
+    gone = stored(deleted_lines(docs, least_words, rare, most_broadcast=most_broadcast))
     size = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
-    docs = docs.drop("n_lines", "n_deleted", "n_partners", "_hash")
+    docs = docs.drop(*RESULTS)
+    own, g_id, g_hash, places, partners, moved = unused(docs.columns, "hash", "g_id", "g_hash", "places", "partners", "moved")
     kinds = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)
-    hashed = docs.mapInArrow(_text_hash, f"{kinds}, _hash long")
-    gone = gone.withColumnsRenamed({"doc_id": "_g_id", "text_hash": "_g_hash", "places": "_places"})
+    hashed = docs.mapInArrow(_text_hash(own), f"{kinds}, `{own}` long")
+    gone = gone.toDF(g_id, g_hash, places, partners, moved)
     gone = F.broadcast(gone) if size[0] + size[1] <= most_broadcast else gone
-    joined = hashed.join(gone, F.col("doc_id").eqNullSafe(F.col("_g_id")) & (F.col("_hash") == F.col("_g_hash")), "left")
+    joined = hashed.join(gone, F.col("doc_id").eqNullSafe(F.col(g_id)) & (F.col(own) == F.col(g_hash)), "left")
     lines = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_places", i)), "\n")
+    left = let(lines, lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(places)), lambda i: F.get(ls, i)), "\n"))
     return joined.select(
-        *[F.when(F.col("_places").isNotNull(), left).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns],
+        *[F.when(F.col(places).isNotNull(), left).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("_places").isNull(), 0).otherwise(F.size("_places")).cast("long").alias("n_deleted"),
-        F.coalesce("n_partners", F.lit(0)).cast("long").alias("n_partners"),
+        F.when(F.col(places).isNull(), 0).otherwise(F.size(places)).cast("long").alias("n_deleted"),
+        F.coalesce(partners, F.lit(0)).cast("long").alias("n_partners"),
+        F.coalesce(moved, F.lit(0)).cast("long").alias("n_moved"),
     )
