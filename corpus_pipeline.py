@@ -11,7 +11,7 @@ stage's result to the shared folder and reads it again.
    have a similarity of 0.8 or more the smallest doc_id stays.
 4. decontaminate: documents that hold a benchmark window go.
 5. mix: sources are drawn to their targets; columns size, source_size, target,
-   copies, taken, shards and shuffle_key are added, and rows not drawn go.
+   copies, taken, shards and orders are added, and rows not drawn go.
 
 Null texts are empty; rows that repeat a doc_id are kept or dropped each by
 its own text up to stage 3, which keeps one row of a doc_id.
