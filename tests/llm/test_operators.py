@@ -618,6 +618,42 @@ def test_quality(spark):
     assert np.mean([(out[i] >= 0.3) == bool(q) for i, _, q in table[:400]]) > 0.97
     one = {r.score for r in quality.classify(df, labels.where("quality = 1")).collect()}
     assert len(one) == 1 and next(iter(one)) > 0.9
+    few = {r.score for r in quality.classify(df, labels.where("doc_id < 12")).collect()}
+    assert len(few) == 1
+
+
+def test_document_vectors_are_plain_means():
+    rng = random.Random(14)
+    texts = [prose(rng, n) + "  12!? Ab\n" for n in (1, 7, 60_000, 300)] + ["", "x", None]
+    vectors = np.random.default_rng(1).normal(size=(quality.BUCKETS, quality.DIM)).astype(np.float32)
+    for _, _, x in t.slices(pa.array(texts), 1 << 30):
+        b, bound = quality._pieces(x)
+        got = quality.features(x, vectors)
+        for i, text in enumerate(texts):
+            assert bound[i + 1] - bound[i] == len(re.findall(r"[A-Za-z]+|[0-9]+|\n+|[^A-Za-z0-9\s]+", text or ""))
+            v = vectors[b[bound[i] : bound[i + 1]]].astype(np.float64)
+            want = np.concatenate([v.mean(0), v.std(0), (v[:-1] * v[1:]).sum(0) / len(v)]) if len(v) else np.zeros(quality.N_FEATURES)
+            assert np.allclose(got[i], want, atol=1e-3)
+
+
+def test_context_vectors_by_plain_python(spark):
+    rng = random.Random(15)
+    table = [(i, " ".join(rng.choice(["a", "bb", "Cc", "d1", "!"]) for _ in range(rng.randint(0, 12)))) for i in range(40)] + [(99, None)]
+    bucket = lambda w: int(quality._pieces(next(iter(t.slices(pa.array([w]))))[2])[0][0])
+    place, sign = quality._index_vectors(11)
+    total, seen = np.zeros((quality.BUCKETS, quality.DIM)), Counter()
+    for _, x in table:
+        words = [bucket(w) for w in re.findall(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\s]+", x or "")]
+        seen.update(words)
+        for i, w in enumerate(words):
+            for j in range(max(0, i - quality.REACH), min(len(words), i + quality.REACH + 1)):
+                turn = 7 * (abs(i - j) - 1) + 3 * (j > i)
+                for k in range(quality.ONES) if i != j else ():
+                    total[w, (place[words[j], k] + turn) % quality.DIM] += sign[words[j], k]
+    share = np.array([seen[b] for b in range(quality.BUCKETS)]) / sum(seen.values())
+    want = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1) * (1e-3 / (1e-3 + share))[:, None]
+    got = quality.word_vectors(spark.createDataFrame(table, "doc_id long, text string").repartition(3))
+    assert np.allclose(got, want, atol=1e-6)
 
 
 PAGE = "<!DOCTYPE html><html><head><title>T</title><script>var t='</p>'</script></head><body class='nav-open'><div class='menu'><ul><li>Home<li>About</ul></div>{body}<div id='box'>Same on all pages</div><footer>foot</footer></body></html>"

@@ -2,22 +2,25 @@
 
 Word vectors come from the whole corpus: each hashed word has a fixed sparse
 ternary index vector, and a word's context vector is the sum of the index
-vectors of its neighbours over all documents.  A document is the mean and the
-deviation of its words' normalised context vectors, with the pooled shares of
-its words' shapes; a two-layer network scores that, and a temperature fitted
-on rows kept from training calibrates the probability.
+vectors of its neighbours, rotated by their distance and side, over all
+documents.  Words are runs of letters of either case, of digits or of other
+signs, as they are written.  A document is pooled from its words' normalised
+context vectors alone: their mean, their deviation, and the mean product of each
+word's vector with the next one's.  A two-layer network scores that, and a
+temperature fitted on rows kept from training calibrates the probability.
 
 The vocabulary is hashed into ``BUCKETS`` rows, so vectors have a fixed size
-(3 MB) whatever the corpus; partial sums of tasks are added in a streaming
+(8 MB) whatever the corpus; partial sums of tasks are added in a streaming
 pass by row range.  The network is fitted on the driver from the features of
-at most ``most_labelled`` labelled rows; all else covers all documents.
+at most ``most_labelled`` labelled documents; all else covers all documents.
 
 Defined cases: null or empty text has no words and gets the network's score
 for the zero vector; rows are scored by their text alone, so equal texts get
 equal scores; labels that are null are ignored, several for one doc_id are
-averaged; with no labels, or one class only, all documents get the smoothed
-share of good labels; an empty table gives an empty result; other columns are
-ignored.
+averaged; of rows that repeat a labelled doc_id the text of least hash is learnt
+from; with no labels, fewer than ``LEAST_LABELLED`` or one class only, all
+documents get the smoothed share of good labels; an empty table gives an empty
+result; other columns are carried.
 """
 
 from __future__ import annotations
@@ -31,18 +34,13 @@ from pyspark.sql import functions as F
 
 from . import _text as t
 
-BUCKETS, DIM, ONES, ROWS = 1 << 14, 48, 4, 256
-#: Byte classes: 0 space, 1 line end, 2 upper case, 3 lower case and beyond ASCII, 4 digit, 5 other.
-_CLASS = np.full(256, 5, np.uint8)
-_CLASS[t.SPACE] = 0
-_CLASS[10] = 1
-_CLASS[0x41:0x5B] = 2
-_CLASS[0x61:0x7B] = 3
-_CLASS[0x80:] = 3
-_CLASS[0x30:0x3A] = 4
-#: Bytes are parted where this changes; letters of either case stay together.
-_KIND = np.array([0, 1, 3, 3, 4, 5], np.uint8)[_CLASS]
-_SHAPES = 8  # lower, title, upper, digits, line end, symbols, same as the word before, symbols behind a word
+BUCKETS, DIM, ONES, ROWS, REACH, LEAST_LABELLED = 1 << 15, 64, 4, 256, 2, 20
+#: Bytes are parted where this changes: 0 space, 1 line end, 2 letters and beyond ASCII, 3 digits, 4 other.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[t.SPACE] = 0
+_KIND[10] = 1
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _KIND[0x80:] = 2
+_KIND[0x30:0x3A] = 3
 
 
 def _index_vectors(seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,10 +48,10 @@ def _index_vectors(seed: int) -> tuple[np.ndarray, np.ndarray]:
     return random.integers(0, DIM, (BUCKETS, ONES)), random.choice(np.array([-1.0, 1.0]), (BUCKETS, ONES))
 
 
-def _pieces(x: t.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket and shape of each run of like bytes, and the documents' bounds; spaces are left out."""
+def _pieces(x: t.Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each run of like bytes, and the documents' bounds; spaces are left out."""
     if not len(x.data):
-        return np.zeros(0, np.int64), np.zeros((0, _SHAPES), bool), np.zeros(x.n + 1, np.int64)
+        return np.zeros(0, np.int64), np.zeros(x.n + 1, np.int64)
     kind = _KIND[x.data]
     new = np.ones(len(kind), bool)
     new[1:] = kind[1:] != kind[:-1]
@@ -62,22 +60,8 @@ def _pieces(x: t.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     end = np.append(start[1:], len(kind))
     keep = kind[start] != 0
     start, end = start[keep], end[keep]
-    of = kind[start]
-    upper = np.zeros(len(kind) + 1, np.int64)
-    np.cumsum(_CLASS[x.data] == 2, out=upper[1:])
-    n_upper = upper[end] - upper[start]
-    h = t.span_hash(t.prefix_hash(t.LOWER[x.data]), start, end)
-    bound = x.bounds(start)
-    word, symbol = of == 3, of == 5
-    behind = np.zeros(len(of), bool)
-    behind[1:] = symbol[1:] & word[:-1] & (start[1:] == end[:-1])
-    same = np.zeros(len(of), bool)
-    same[1:] = h[1:] == h[:-1]
-    first = bound[:-1][np.diff(bound) > 0]
-    same[first] = behind[first] = False
-    long_upper = word & (n_upper == end - start) & (end - start > 1)
-    shape = np.stack([word & (n_upper == 0), word & (n_upper > 0) & ~long_upper, long_upper, of == 4, of == 1, symbol, same, behind], axis=1)
-    return (h % np.uint64(BUCKETS)).astype(np.int64), shape, bound
+    h = t.span_hash(t.prefix_hash(x.data), start, end)
+    return (h % np.uint64(BUCKETS)).astype(np.int64), x.bounds(start)
 
 
 def _context_sums(seed: int):
@@ -85,19 +69,20 @@ def _context_sums(seed: int):
         place, sign = _index_vectors(seed)
         total, seen, any_ = np.zeros(BUCKETS * DIM), np.zeros(BUCKETS), False
         for batch in batches:
-            for _, _, x in t.slices(batch.column("text")):
+            for _, _, x in t.slices(batch.column("text"), 1 << 22):
                 any_ = True
-                b, _, bound = _pieces(x)
+                b, bound = _pieces(x)
                 seen += np.bincount(b, minlength=BUCKETS)
-                near = np.ones(max(len(b) - 1, 0), bool)
-                cut = bound[1:-1] - 1
-                near[cut[(cut >= 0) & (cut < len(near))]] = False
-                one, two = b[:-1][near], b[1:][near]
-                for word, other in ((one, two), (two, one)):
-                    for i in range(ONES):
-                        total += np.bincount(word * DIM + place[other, i], weights=sign[other, i], minlength=BUCKETS * DIM)
+                doc = t.owner(bound)
+                for k in range(1, REACH + 1):
+                    same = doc[:-k] == doc[k:]
+                    one, two = b[:-k][same], b[k:][same]
+                    for turn, (word, other) in enumerate(((two, one), (one, two))):
+                        turn = 7 * (k - 1) + 3 * turn  # each distance and side has a rotation of its own
+                        for i in range(ONES):
+                            total += np.bincount(word * DIM + (place[other, i] + turn) % DIM, weights=sign[other, i], minlength=BUCKETS * DIM)
         if any_:
-            both = np.concatenate([total.reshape(BUCKETS, DIM), seen[:, None]], axis=1).astype(np.int64)
+            both = np.concatenate([total.reshape(BUCKETS, DIM), seen[:, None]], axis=1).astype(np.int32)
             for i in range(0, BUCKETS, ROWS):
                 yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([both[i : i + ROWS].tobytes()])], ["first", "sums"])
 
@@ -108,8 +93,8 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for first, sums in zip(batch.column("first").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-            x = np.frombuffer(sums, np.int64)
-            total[first] = total[first] + x if first in total else x.copy()
+            x = np.frombuffer(sums, np.int32).astype(np.int64)
+            total[first] = total[first] + x if first in total else x
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["first", "sums"])
 
 
@@ -126,35 +111,36 @@ def word_vectors(docs: DataFrame, seed: int = 11) -> np.ndarray:
     return (total / np.maximum(length, 1) * (1e-3 / (1e-3 + share))[:, None]).astype(np.float32)
 
 
-N_FEATURES = 2 * DIM + _SHAPES + 3
+N_FEATURES = 3 * DIM
 
 
 def features(x: t.Texts, vectors: np.ndarray) -> np.ndarray:
-    b, shape, bound = _pieces(x)
+    b, bound = _pieces(x)
     out = np.zeros((x.n, N_FEATURES), np.float32)
     n = np.diff(bound)
     full = np.flatnonzero(n)
-    # gather vectors for a few documents at a time
+    # gather vectors for a few documents at a time; a longer one in parts that are added up
     at = 0
     while at < len(full):
         to = max(at + 1, int(np.searchsorted(bound[full + 1], bound[full[at]] + 50_000, side="right")))
         docs = full[at:to]
-        low, high = bound[docs[0]], bound[docs[-1] + 1]
-        v = vectors[b[low:high]]
-        first = bound[docs] - low
-        count = n[docs][:, None]
-        mean = np.add.reduceat(v, first, axis=0) / count
-        out[docs, :DIM] = mean
-        out[docs, DIM : 2 * DIM] = np.sqrt(np.maximum(np.add.reduceat(v * v, first, axis=0) / count - mean * mean, 0))
-        out[docs, 2 * DIM : 2 * DIM + _SHAPES] = np.add.reduceat(shape[low:high].astype(np.float32), first, axis=0) / count
+        sums = np.zeros((3, len(docs), DIM))
+        low, high = int(bound[docs[0]]), int(bound[docs[-1] + 1])
+        for a in range(low, high, 50_000):
+            z = min(a + 50_000, high)
+            v = vectors[b[a : min(z + 1, high)]]
+            then = np.zeros((z - a, DIM), np.float32)
+            then[: len(v) - 1] = v[: z - a][: len(v) - 1] * v[1:]
+            last = bound[docs + 1] - 1 - a  # the last word of a document has none after it
+            then[last[(last >= 0) & (last < z - a)]] = 0
+            v = v[: z - a]
+            inside = np.flatnonzero((bound[docs] < z) & (bound[docs + 1] > a))
+            first = np.maximum(bound[docs[inside]] - a, 0)
+            for i, part in enumerate((v, v * v, then)):
+                sums[i, inside] += np.add.reduceat(part, first, axis=0)
+        mean, square, then = sums / n[docs][:, None]
+        out[docs] = np.concatenate([mean, np.sqrt(np.maximum(square - mean * mean, 0)), then], axis=1)
         at = to
-    if len(b):
-        doc = t.owner(bound)
-        distinct = np.unique(doc * BUCKETS + b)
-        kinds = np.bincount(distinct // BUCKETS, minlength=x.n)
-        out[:, -3] = np.log1p(n)
-        out[:, -2] = np.log1p(kinds)
-        out[:, -1] = np.linalg.norm(out[:, :DIM], axis=1)
     return out
 
 
@@ -167,7 +153,7 @@ class Network:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Network:
         self.constant = None
-        if len(y) < 20 or y.min() == y.max():
+        if len(y) < LEAST_LABELLED or y.min() == y.max():
             self.constant = float((y.sum() + 1) / (len(y) + 2))
             return self
         random = np.random.default_rng(self.seed)
@@ -175,7 +161,8 @@ class Network:
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
         x = self._norm(x)
         order = random.permutation(len(y))
-        hold, own = order[: len(y) // 5], order[len(y) // 5 :]
+        part = max(1, len(y) // 8)
+        hold, calibrate, own = order[:part], order[part : 2 * part], order[2 * part :]  # for the epoch, for the temperature, for the weights
         p = [random.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], self.hidden)), np.zeros(self.hidden), random.normal(0, 1 / np.sqrt(self.hidden), self.hidden), np.zeros(1)]
         m, v, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
         best, kept = np.inf, p
@@ -195,8 +182,8 @@ class Network:
             if loss < best:
                 best, kept = loss, [a.copy() for a in p]
         self.p = kept
-        logits = self._logit(x[hold])
-        self.temperature = min(np.exp(np.linspace(-2, 2, 161)), key=lambda z: self._loss(logits / z, y[hold]))
+        logits = self._logit(x[calibrate])
+        self.temperature = min(np.exp(np.linspace(-2, 2, 161)), key=lambda z: self._loss(logits / z, y[calibrate]))
         return self
 
     def _norm(self, x: np.ndarray) -> np.ndarray:
@@ -252,7 +239,10 @@ def classify(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000) ->
     vectors = word_vectors(docs)
     wanted = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("quality").alias("y"))
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id").select("text", "y")
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id")
+    # one text for each labelled document, however many rows repeat it
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y")).alias("x")
+    sample = sample.groupBy("doc_id").agg(least).select("x.text", "x.y")
     known = sample.mapInArrow(_featured(spark.sparkContext.broadcast(vectors)), "y double, f binary").toArrow()
     y = known.column("y").to_numpy()
     f = np.frombuffer(b"".join(known.column("f").to_pylist()), np.float32).reshape(len(y), N_FEATURES)
