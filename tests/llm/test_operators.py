@@ -674,6 +674,49 @@ def test_main_text(spark):
         assert got[i] == text  # the box that every page repeats is of low importance
 
 
+def extracted(spark, table, **options):
+    return {r.page_id: r.text for r in html.main_text(spark.createDataFrame(table, "page_id long, url string, html string"), **options).collect()}
+
+
+def test_importance_decides_inside_articles_and_on_small_hosts(spark):
+    rng = random.Random(17)
+    table, want, plain = [], {}, {}
+    for host, n, inside in (("one.org", 3, False), ("two.org", 30, False), ("three.org", 30, True), ("four.org", 2, True)):
+        for i in range(n):
+            page, own = len(table), [prose(rng, 12), prose(rng, 9)]
+            box = f"<div class='k4'><b>Read by {rng.randrange(10**6)} people</b><p>Join us and never miss a story</p></div>"
+            menu = "<div class='q7'>" + "".join(f"<span><a href='/{prose(rng, 1)}'>{prose(rng, 2)}</a></span> " for _ in range(6)) + "</div>"
+            body = f"{menu}{box}<div class='z1'><p>{own[0]}</p><p>{own[1]}</p></div>" if not inside else f"{menu}<article><h1>{own[0]}</h1>{box}<p>{own[1]}</p></article>"
+            table.append((page, f"https://{host}/{i}", f"<html><body>{body}</body></html>"))
+            keep_box = host == "four.org"  # two pages say too little
+            said = re.search("Read by \\d+ people", box)[0]
+            want[page] = "\n".join([own[0], said, "Join us and never miss a story", own[1]] if keep_box else own)
+            plain[page] = said
+    got = extracted(spark, table)
+    assert got == want
+    without = extracted(spark, table, least_importance=0.0)  # no branch is removed
+    changed = [i for i in want if without[i] != want[i]]
+    assert len(changed) == 63 and all(plain[i] in without[i] for i in want)
+
+
+def test_names_of_content_stay(spark):
+    parts = ["<section id='related-work'><h2>Related work</h2><p>Others did it</p></section>", "<h2 id='promotion'>Promotion</h2>", "<div class='search-engine-history'><p>Engines</p></div>", "<p id='comments'>On comments</p>"]
+    noise = ["<div class='ad-slot'>buy</div>", "<div id='comments'><p>nice</p></div>", "<ul class='navMenu'><li>Home</ul>", "<div class='cookie-notice'>cookies</div>", "<div role='complementary'>side</div>", "<section class='user-comments'><p>me too</p></section>"]
+    teaser = "<main><article>short</article><p>" + "The long body of the page. " * 5 + "</p></main>"
+    got = extracted(spark, [(1, "http://a.org/1", f"<article>{''.join(parts + noise)}</article>"), (2, "http://b.org/1", teaser)])
+    assert got[1] == "Related work\nOthers did it\nPromotion\nEngines\nOn comments"
+    assert got[2] == "short\n" + " ".join(["The long body of the page."] * 5)
+
+
+def test_copies_of_a_page_do_not_make_it_presentation(spark):
+    rng = random.Random(18)
+    text = prose(rng, 30)
+    table = [(i, "http://a.org/x", f"<script>track({i})</script><article><p>{text}</p></article>") for i in range(50)]
+    table += [(100, "http://b.org/1", "<p>" + "long text " * 60_000 + "</p>"), (101, "http://b.org/2", "<div>" * 3000 + "deep")]
+    got = extracted(spark, table)
+    assert {got[i] for i in range(50)} == {text} and len(got[100]) == 599_999 and got[101] == "deep"
+
+
 def test_words_never_cross_documents():
     for _, _, x in t.slices(pa.array(["ab", "", "cd e", None, " ", "f\n"])):
         first, last = x.words()
