@@ -205,6 +205,27 @@ def test_repeated_bytes(docs, rows):
     assert sorted(got) == sorted(want)
 
 
+def test_repeated_bytes_around_a_hot_passage(spark):
+    """A passage in hundreds of contexts, cut at both ends, is one gram's group with more windows than a pass compares."""
+    rng = random.Random(23)
+    passage = prose(rng, 60)[:230]
+    texts = [(i, prose(rng, 40) + passage[rng.choice([0, 0, 20, 90]) :][: rng.choice([230, 230, 215, 100])] + prose(rng, 40)) for i in range(150)]
+    length = 200
+    seen = Counter(x.encode()[s : s + length] for _, x in texts for s in range(len(x.encode()) - length + 1))
+    want = {}
+    for i, x in texts:
+        b = x.encode()
+        gone = np.zeros(len(b), bool)
+        for s in range(len(b) - length + 1):
+            if seen[b[s : s + length]] > 1:
+                gone[s : s + length] = True
+        want[i] = bytes(np.frombuffer(b, np.uint8)[~gone])
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for options in ({"most_windows": 300, "most_ids": 0}, {"most_windows": 4_000_000}):
+        assert {r.doc_id: bytes(r.kept) for r in suffixes.remove_repeated(df, **options).collect()} == want
+    assert sum(len(x) - len(want[i]) for i, x in texts) > 5000
+
+
 def test_loser_tree_merges_with_known_prefixes():
     rng = random.Random(5)
     for k in (1, 2, 3, 7):

@@ -13,13 +13,17 @@ of front-coded suffixes (common prefix length and the rest) with the bytes to
 their left; equal suffixes with equal left bytes are one entry with a list of
 places.  A range merges its runs with a loser tree that keeps each contender's
 common prefix with the last winner and never compares those bytes again.  In
-the merged order suffixes that share the gram stand together; of each such
-group, the windows that hold the suffix at each offset are compared by hash.
-The windows of one suffix that repeat overlap, so they give one span.
+the merged order suffixes that share the gram stand together, and a suffix's
+longest common prefix with its neighbours bounds how far right a window that
+repeats can reach.  Only windows inside that bound are compared, by hash, with
+those of their group.  The windows of one suffix that repeat overlap, so they
+give one span.
 
 Documents with equal text are read once: all of their bytes repeat.  Ranges
 are cut by a bounded sample of suffixes; a run is flushed at ``run_entries``
-entries and a group is compared in bounded pieces, whatever its size.
+entries.  A group's different contexts are held by one task, packed, at some 400
+bytes each; its windows are hashed in pieces and compared in passes by hash
+value, of ``most_windows`` each at most.
 
 Defined cases: null text is empty; texts under ``length`` bytes lose nothing;
 rows equal in doc_id and text repeat each other; an empty table gives an empty
@@ -38,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as t
-from ._store import stored
+from ._store import few, stored
 
 
 def anchors(x: t.Texts, length: int, gram: int) -> np.ndarray:
@@ -236,78 +240,116 @@ def merge(runs: list[Iterator[tuple[int, bytes, tuple]]]) -> Iterator[tuple[int,
             node //= 2
 
 
-def _repeated(contexts: list[tuple[bytes, bytes, int]], length: int, gram: int, most: int = 500_000) -> list[tuple[int, int] | None]:
-    """For each (suffix, left bytes, occurrences): the least and greatest offset of the suffix in a window that repeats."""
-    reach = length - gram
-    m, width = len(contexts), reach + length
-    matrix = np.zeros((m, width), np.uint8)
-    size_left = np.array([len(c[1]) for c in contexts])
-    size_right = np.array([len(c[0]) for c in contexts])
-    flat = np.frombuffer(b"".join(c[1].rjust(reach, b"\0") + c[0].ljust(length, b"\0") for c in contexts), np.uint8)
-    matrix = flat.reshape(m, width)
-    many = np.array([c[2] for c in contexts])
-    with np.errstate(over="ignore"):
-        prefix = np.zeros((m, width + 1), np.uint64)
-        np.cumsum((matrix.astype(np.uint64) + np.uint64(1)) * t.powers(t._BASE, width)[:width], axis=1, out=prefix[:, 1:])
-        inverse = t.powers(t._INV, width)
-        low, high = np.full(m, length + 1), np.full(m, -1)
-        step = max(1, most // m)
-        for a in range(0, reach + 1, step):
-            offsets = np.arange(a, min(a + step, reach + 1))
-            start = reach - offsets
-            h = (prefix[:, start + length] - prefix[:, start]) * inverse[start] + offsets.astype(np.uint64) * np.uint64(t._STEP)
-            fits = (size_left[:, None] >= offsets) & (size_right[:, None] >= length - offsets)
-            row, column = np.nonzero(fits)
-            value = t.mix(h[row, column])
-            order = np.argsort(value, kind="stable")
-            value, row, column = value[order], row[order], column[order]
+class _Contexts:
+    """Contexts of one or more groups in sorted order, packed in pieces, and which of their windows repeat."""
+
+    def __init__(self, length: int, gram: int, piece: int = 1000, most_windows: int = 4_000_000):
+        self.length, self.reach, self.piece, self.most = length, length - gram, piece, most_windows
+        self.clear()
+
+    def clear(self) -> None:
+        self.loose: list[list] = []  # [suffix, left bytes, documents, places, what it shares with a neighbour]
+        self.packed: list[tuple] = []
+        self.size = 0
+
+    def add(self, key: bytes, left: bytes, docs: list[int], places: list[int], shared: int) -> None:
+        """shared: the common prefix with the context before in the group, 0 for the first."""
+        self.size += 1
+        if shared and self.loose:
+            self.loose[-1][4] = max(self.loose[-1][4], shared)
+        if len(self.loose) > self.piece:
+            self._pack(self.loose[:-1])
+            self.loose = self.loose[-1:]
+        self.loose.append([key, left, docs, places, shared])
+
+    def _pack(self, rows: list[list]) -> None:
+        flat = np.frombuffer(b"".join(r[1].rjust(self.reach, b"\0") + r[0].ljust(self.length, b"\0") for r in rows), np.uint8)
+        many = np.array([len(r[2]) for r in rows])
+        docs, places = np.array([d for r in rows for d in r[2]], np.int64), np.array([p for r in rows for p in r[3]], np.int32)
+        left, right, shared = (np.array(x, np.int16) for x in ([len(r[1]) for r in rows], [len(r[0]) for r in rows], [r[4] for r in rows]))
+        # offsets of the suffix in a window: from where the window fits, or may repeat, to where it fits
+        fit = np.maximum(0, self.length - right)
+        low, high = np.maximum(fit, self.length - shared), np.minimum(left, self.reach)
+        self.packed.append((flat, many, docs, places, low, high, np.where((many > 1) & (fit <= high), fit, self.length + 1), np.where((many > 1) & (fit <= high), high, -1)))
+
+    def _windows(self, x: tuple, part: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, row and offset of the windows to compare whose hash falls to this pass."""
+        flat, low, high = x[0], x[4], x[5]
+        width = self.reach + self.length
+        matrix = flat.reshape(-1, width)
+        size = np.maximum(high - low + 1, 0)
+        row = np.repeat(np.arange(len(size)), size)
+        offset = np.arange(len(row)) - np.repeat(np.append(0, np.cumsum(size)[:-1]), size) + np.repeat(low, size)
+        with np.errstate(over="ignore"):
+            prefix = np.zeros((len(size), width + 1), np.uint64)
+            np.cumsum((matrix.astype(np.uint64) + np.uint64(1)) * t.powers(t._BASE, width)[:width], axis=1, out=prefix[:, 1:])
+            start = self.reach - offset
+            h = (prefix[row, start + self.length] - prefix[row, start]) * t.powers(t._INV, width)[start] + offset.astype(np.uint64) * np.uint64(t._STEP)
+        value = t.mix(h)
+        if parts > 1:
+            own = np.flatnonzero(value % np.uint64(parts) == part)
+            value, row, offset = value[own], row[own], offset[own]
+        return value, row, offset
+
+    def spans(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Document, start and end of the span that repeats around each place."""
+        if self.loose:
+            self._pack(self.loose)
+        base = np.append(0, np.cumsum([len(x[1]) for x in self.packed]))
+        total = sum(int(np.maximum(x[5] - x[4] + 1, 0).sum()) for x in self.packed)
+        many = np.concatenate([x[1] for x in self.packed]) if self.packed else np.zeros(0, np.int64)
+        least, most = (np.concatenate([x[i] for x in self.packed]).astype(np.int64) if self.packed else np.zeros(0, np.int64) for i in (6, 7))
+        parts = max(1, -(-total // self.most))
+        for part in range(parts if total else 0):
+            found = [self._windows(x, part, parts) for x in self.packed]
+            value = np.concatenate([f[0] for f in found])
+            row = np.concatenate([f[1] + b for f, b in zip(found, base[:-1], strict=True)])
+            offset = np.concatenate([f[2] for f in found])
             if not len(value):
                 continue
-            first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-            total = np.add.reduceat(many[row], first)
-            hit = np.repeat(total > 1, np.diff(np.append(first, len(value))))
-            np.minimum.at(low, row[hit], offsets[column[hit]])
-            np.maximum.at(high, row[hit], offsets[column[hit]])
-    return [(int(a), int(b)) if b >= 0 else None for a, b in zip(low, high, strict=True)]
-
-
-def _merged(length: int, gram: int, batch_entries: int = 1000):
+            order = np.argsort(value, kind="stable")
+            first = np.flatnonzero(np.append(True, value[order][1:] != value[order][:-1]))
+            hit = np.repeat(np.add.reduceat(many[row[order]], first) > 1, np.diff(np.append(first, len(value))))
+            at = order[hit]
+            np.minimum.at(least, row[at], offset[at])
+            np.maximum.at(most, row[at], offset[at])
+        for x, b in zip(self.packed, base[:-1], strict=True):
+            low, high = (np.repeat(v[b : b + len(x[1])], x[1]) for v in (least, most))
+            own = high >= 0
+            yield x[2][own], x[3][own] - high[own], x[3][own] - low[own] + self.length
+        self.clear()
+
+
+def _merged(length: int, gram: int, batch_entries: int = 1000, most_windows: int = 4_000_000):
     def run(table: pa.Table) -> pa.Table:
-        refs: list[int] = []
-        starts: list[int] = []
-        ends: list[int] = []
-        held: list[tuple[bytes, bytes, list[int], list[int]]] = []
-        group: list[tuple[bytes, bytes, list[int], list[int]]] = []
-
-        def flush() -> None:
-            if not held:
-                return
-            for found, (_, _, docs, places) in zip(_repeated([(e[0], e[1], len(e[2])) for e in held], length, gram), held, strict=True):
-                if found:
-                    refs.extend(docs)
-                    starts.extend(p - found[1] for p in places)
-                    ends.extend(p - found[0] + length for p in places)
-            held.clear()
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = _Contexts(length, gram, most_windows=most_windows)
+        now: list | None = None  # the last context of the group, not yet held
+        alone, shared = True, 0
 
         def close() -> None:
-            if len(group) > 1 or group and len(group[0][2]) > 1:
-                held.extend(group)
-            group.clear()
-            if len(held) >= batch_entries:
-                flush()
+            if now and (not alone or len(now[2]) > 1):
+                held.add(*now, shared)
+            if held.size >= batch_entries:
+                found.extend(held.spans())
 
         runs = [_unpack(b) for b in table.column("run").to_pylist()]
         for common, key, (left, docs, places) in merge(runs):
             if common < gram:
                 close()
-            if group and group[-1][0] == key and group[-1][1] == left:
-                group[-1][2].extend(docs)
-                group[-1][3].extend(places)
+                now = None
+            if now is None:
+                now, alone, shared = [key, left, list(docs), list(places)], True, 0
+            elif now[0] == key and now[1] == left:
+                now[2].extend(docs)
+                now[3].extend(places)
             else:
-                group.append((key, left, list(docs), list(places)))
+                held.add(*now, shared)
+                now, alone, shared = [key, left, list(docs), list(places)], False, common
         close()
-        flush()
-        return pa.table({"ref": pa.array(refs, pa.int64()), "start": pa.array(starts, pa.int32()), "end": pa.array(ends, pa.int32())})
+        found.extend(held.spans())
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
+        return pa.table({"ref": pa.array(columns[0], pa.int64()), "start": pa.array(columns[1].astype(np.int32)), "end": pa.array(columns[2].astype(np.int32))})
 
     return run
 
@@ -366,22 +408,21 @@ def _joined(spans: str) -> Column:
     return F.when(F.size(spans) == 0, F.array().cast(kind)).otherwise(folded)
 
 
-def remove_repeated(docs: DataFrame, length: int = 200, gram: int = 48, run_entries: int = 30_000, range_entries: int = 40_000, sampled_heads: int = 50_000, most_ids: int = 2_000_000) -> DataFrame:
+def remove_repeated(docs: DataFrame, length: int = 200, gram: int = 48, run_entries: int = 30_000, range_entries: int = 40_000, sampled_heads: int = 50_000, most_windows: int = 4_000_000, most_ids: int = 200_000) -> DataFrame:
     """doc_id, n_bytes, removed (maximal spans) and kept (the remaining bytes) of each document."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("ref", F.xxhash64(F.sha2("text", 256)))
     long_ = texts.where(F.octet_length("text") >= length)
     classes = long_.groupBy(F.col("ref").alias("c_ref")).agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
     copies = stored(classes.where("rows > 1").select("c_ref", "first"))
-    small = lambda x: F.broadcast(x) if x.count() <= most_ids else x
-    extra = stored(long_.select("doc_id", "ref").join(small(copies), F.col("ref") == F.col("c_ref")).where("doc_id <> first").select("doc_id", "ref").distinct())
-    nodes = long_.join(small(extra), ["doc_id", "ref"], "left_anti").select("ref", "text")
+    extra = stored(long_.select("doc_id", "ref").join(few(copies, most_ids), F.col("ref") == F.col("c_ref")).where("doc_id <> first").select("doc_id", "ref").distinct())
+    nodes = long_.join(few(extra, most_ids), ["doc_id", "ref"], "left_anti").select("ref", "text")
     # suffixes whose gram occurs again
     marked = nodes.mapInArrow(_marked(length, gram), "ref long, place int, key long, times int")
     again = marked.withColumn("n", F.sum("times").over(Window.partitionBy("key"))).where("n > 1 and ref is not null")
     places = stored(again.groupBy("ref").agg(F.array_sort(F.collect_set("place")).alias("places")))
     total = places.agg(F.sum(F.size("places"))).first()[0] or 0
-    held = stored(nodes.join(small(places.select("ref")), "ref", "left_semi").join(places, "ref"))
+    held = stored(nodes.join(few(places.select("ref"), most_ids), "ref", "left_semi").join(places, "ref"))
     # sorted runs by key range, merged
     rate = min(1.0, sampled_heads / max(total, 1))
     some = held.where(F.pmod(F.xxhash64("ref"), F.lit(1_000_000)) < max(1, int(rate * 1_000_000)))
@@ -389,7 +430,7 @@ def remove_repeated(docs: DataFrame, length: int = 200, gram: int = 48, run_entr
     ranges = max(1, -(-total // range_entries))
     splitters = sorted({bytes(heads[i * len(heads) // ranges]) for i in range(1, ranges)}) if heads else []
     runs = held.mapInArrow(_runs(length, gram, splitters, run_entries), "range int, run binary")
-    spans = runs.groupBy("range").applyInArrow(_merged(length, gram), "ref long, start int, end int")
+    spans = runs.groupBy("range").applyInArrow(_merged(length, gram, most_windows=most_windows), "ref long, start int, end int")
     found = spans.groupBy("ref").agg(F.collect_set(F.struct("start", "end")).alias("spans")).select("ref", "spans", F.lit(False).alias("whole"))
     none = F.array().cast("array<struct<start:int,end:int>>")
     info = found.unionByName(copies.select(F.col("c_ref").alias("ref"), none.alias("spans"), F.lit(True).alias("whole")))
