@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,10 +15,10 @@ from .operators import ExpHistogramQuery, HistogramQuery, LogQuery, MetricQuery,
 from .operators.attrstats import key_statistics
 from .plans import EvalRange, LimitExceeded, logql, promql, traceql
 from .sources import schema as S
-from .sources.otlp import normalize
+from .sources.otlp import normalize_all
 from .sources.shared import materialized
 from .sources.store import Store
-from .streaming import tail
+from .streaming import follow, tail
 
 
 @dataclass(frozen=True)
@@ -36,6 +37,7 @@ class Engine:
     refresh: str | float = "on_query"
     duplicates: str = "error"
     _tables: dict[str, tuple[float, DataFrame]] = field(default_factory=dict)
+    _sql: SparkSession | None = None
 
     def table(self, name: str) -> DataFrame:
         now = time.monotonic()
@@ -46,6 +48,10 @@ class Engine:
         self._tables[name] = (now, df)
         return df
 
+    def _listing(self, name: str) -> list[str]:
+        """The files behind table(name), so that SQL sees what the other queries do."""
+        return sorted(self.table(name).inputFiles())
+
     def refresh_tables(self) -> None:
         self._tables.clear()
 
@@ -59,8 +65,7 @@ class Engine:
     def ingest_otlp(self, documents: DataFrame, column: str = "value", reject_duplicates: bool = False) -> dict[str, Receipt]:
         """Normalise OTLP JSON documents and append them; with reject_duplicates, metric points that are in the table already, or twice here, are dropped."""
         out = {}
-        for t in S.TABLES:
-            rows = normalize(documents, t, column)
+        for t, rows in normalize_all(documents, column).items():
             total = rows.count()
             if not total:
                 continue
@@ -79,25 +84,37 @@ class Engine:
         return out
 
     def stream_otlp(self, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-        """Follow a folder of files with one OTLP JSON document per line into the store, exactly once per file."""
+        """Follow a folder of files with one OTLP JSON document per line into the store, exactly once: a batch that is
+        tried again replaces what its first try left.  The checkpoint's path names the stream."""
+        stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
-        def append(batch: DataFrame, _: int) -> None:
-            batch.persist()
-            for t in S.TABLES:
-                rows = normalize(batch, t)
+        def append(batch: DataFrame, number: int) -> None:
+            for t, rows in normalize_all(batch).items():
                 if rows.limit(1).count():
-                    self.store.append(rows, t)
-            batch.unpersist()
+                    self.store.append_once(rows, t, f"{stream}{number}")
 
         lines = self.store.spark.readStream.text(path)
         return lines.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
     # raw SQL
     def query_sql(self, text: str, args: dict | list | None = None) -> DataFrame:
-        register(self.store.spark)
+        """SQL over the tables, in a session of its own, where hex gives lower case."""
+        if self._sql is None:
+            self._sql = self.store.spark.newSession()
+            register(self._sql, shadow=True)
+        at = Store(self._sql, self.store.path, self.store.compression)
         for t in S.TABLES:
-            self.table(t).createOrReplaceTempView(t)
-        return self.store.spark.sql(text, args=args)
+            at.read(t, self._listing(t)).createOrReplaceTempView(t)
+        return self._sql.sql(text, args=args)
+
+    def json_rows(self, text: str, args: dict | list | None = None) -> DataFrame:
+        """The result of a SQL text as one JSON object a row; null columns are kept."""
+        rows = self.query_sql(text, args)
+        return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+    def pinned(self) -> Engine:
+        """A reader whose tables stay as they are now."""
+        return Engine(self.store, "manual", self.duplicates, _tables={t: (0.0, df) for t, df in self._every().items()})
 
     # typed queries
     def logs(self) -> LogQuery:
@@ -115,6 +132,10 @@ class Engine:
     def tail_logs(self, after_observed_ns: int | None = None, limit: int | None = None) -> DataFrame:
         return tail(self.table("logs"), after_observed_ns, limit)
 
+    def follow_logs(self, after_observed_ns: int | None = None, where=None) -> DataFrame:
+        """New log rows as a stream."""
+        return follow(self.store.spark, self.store.path, after_observed_ns, where)
+
     def traces(self) -> TraceQuery:
         return TraceQuery(self.table("spans"), time="start_time_ns")
 

@@ -10,6 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: A number and nothing else: no unit letters, no white space.
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
+
+
 def _value(json_text: Column, key: str) -> Column:
     return F.try_variant_get(F.try_parse_json(json_text), "$[" + json.dumps(key) + "]", "variant")
 
@@ -30,7 +34,7 @@ def json_get_num(json_text: Column, key: str | None) -> Column:
     path = "$[" + json.dumps(key) + "]"
     text = F.try_variant_get(F.try_parse_json(json_text), path, "string")
     number = F.try_variant_get(F.try_parse_json(json_text), path, "double")
-    as_text = F.when(F.lower(text).isin("inf", "+inf", "infinity"), F.lit(math.inf)).when(F.lower(text).isin("-inf", "-infinity"), F.lit(-math.inf)).when(F.lower(text) == "nan", F.lit(math.nan)).otherwise(text.try_cast("double"))
+    as_text = F.when(F.lower(text).isin("inf", "+inf", "infinity", "+infinity"), F.lit(math.inf)).when(F.lower(text).isin("-inf", "-infinity"), F.lit(-math.inf)).when(F.lower(text).isin("nan", "+nan", "-nan"), F.lit(math.nan)).when(text.rlike(NUMBER), text.try_cast("double"))
     return F.when(kind == "STRING", as_text).when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), number)
 
 

@@ -21,18 +21,17 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _BETWEEN_TERMS), lambda x: x != "")
 
 
-def query_terms(query: str) -> list[str]:
-    return list(dict.fromkeys(t for t in re.split(r"[\W_]+", query.lower()) if t))
-
-
 def matches(text: Column, query: str | None) -> Column:
     """Whether text holds every term of query: null for null text, false for a null query, true for one without terms."""
     if query is None:
         return F.lit(False)
-    terms = query_terms(query)
-    if not terms:
-        return F.when(text.isNotNull(), F.lit(True))
-    return F.forall(F.array(*map(F.lit, terms)), lambda t: F.array_contains(tokens(text), t)) if len(terms) > 1 else F.array_contains(tokens(text), terms[0])
+    wanted = F.array_distinct(tokens(F.lit(query)))  # folded to a constant, by the rule that cuts the text
+    return F.when(text.isNotNull(), F.size(F.array_except(wanted, tokens(text))) == 0)
+
+
+def floor_div(value: Column, by: int) -> Column:
+    """value / by rounded down, in longs: nanoseconds do not fit doubles."""
+    return F.call_function("div", value - F.pmod(value, F.lit(by).cast("long")), F.lit(by).cast("long"))
 
 
 def hex_lower(value: Column) -> Column:
@@ -57,6 +56,18 @@ def severity_number(name: str) -> int | None:
     return dict((n.lower(), v) for n, v in BANDS).get(short.get(wanted, wanted))
 
 
+#: Bytes of each unit.
+SIZES = {"": 1, "b": 1, "kb": 1_000, "mb": 1_000_000, "gb": 1_000_000_000, "tb": 1_000_000_000_000, "kib": 1 << 10, "mib": 1 << 20, "gib": 1 << 30, "tib": 1 << 40}
+
+
+def parse_bytes(text: str) -> int:
+    """Bytes of a literal as 64MiB, 1.5gb or 4096."""
+    m = re.fullmatch(r"\s*(\d+(?:\.\d+)?)\s*([A-Za-z]*)\s*", text)
+    if not m or m[2].lower() not in SIZES:
+        raise ValueError(f"not a size: {text!r}")
+    return int(float(m[1]) * SIZES[m[2].lower()]) if "." in m[1] else int(m[1]) * SIZES[m[2].lower()]
+
+
 def parse_duration(text: str, bare: str | None = None) -> int:
     """Nanoseconds of a literal as 1h30m; bare is the unit of a number without one, if that is allowed."""
     parts = re.findall(r"(\d+)(ns|us|µs|ms|s|m|h|d)", text)

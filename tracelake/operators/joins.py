@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import floor_div
+
 
 def as_of_join(left: DataFrame, right: DataFrame, on: str, by: list[str], values: list[str], tolerance: int | None = None) -> DataFrame:
     """Each left row with the values of the last right row of the same key at or before it (and within tolerance).
@@ -23,7 +25,7 @@ def as_of_join(left: DataFrame, right: DataFrame, on: str, by: list[str], values
 
 def interval_join(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, width: int) -> DataFrame:
     """Points with the half-open intervals that hold them, by bins of `width`: an interval is copied to the bins it touches, a point stands in one."""
-    bin_of = lambda c: (c - F.pmod(c, F.lit(width))) / F.lit(width)
-    spread = intervals.where(F.col(end) > F.col(start)).withColumn("_bin", F.explode(F.sequence(bin_of(F.col(start)).cast("long"), bin_of(F.col(end) - 1).cast("long"))))
-    own = points.withColumn("_bin", bin_of(F.col(at)).cast("long"))
+    bin_of = lambda c: floor_div(c.cast("long"), width)
+    spread = intervals.where(F.col(end) > F.col(start)).withColumn("_bin", F.explode(F.sequence(bin_of(F.col(start)), bin_of(F.col(end) - 1))))
+    own = points.withColumn("_bin", bin_of(F.col(at)))
     return own.join(spread, "_bin").where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bin")

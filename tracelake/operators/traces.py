@@ -12,6 +12,10 @@ from ..sources.shared import materialized
 from .filters import Filtered, bucket, time_range
 
 
+#: A page of at most so many traces is broadcast.
+MOST_PAGE = 100_000
+
+
 def get_traces(spans: DataFrame, ids: list[str]) -> DataFrame:
     """All spans of the traces with these hexadecimal ids, in start order."""
     return spans.where(F.col("trace_id").isin([bytes.fromhex(i) for i in ids])).orderBy("trace_id", "start_time_ns", "span_id")
@@ -81,17 +85,28 @@ class TraceQuery(SpanFilter):
             for p in time_range(F.col("start_time_ns"), start, end, inclusive):
                 inside = inside.where(p)
             spans = spans.join(inside.select("trace_id").distinct(), "trace_id", "left_semi")
+        if self.limit is not None:
+            # rank by the latest start alone; only the traces of the page are summed up
+            ranked = spans.groupBy("trace_id").agg(F.min("start_time_ns").alias("start_time_ns"), F.max("start_time_ns").alias("latest_ns"))
+            if self.trace_start:
+                for p in time_range(F.col("start_time_ns"), start, end, inclusive):
+                    ranked = ranked.where(p)
+            page = ranked.orderBy(F.col("latest_ns").desc(), "trace_id").limit(self.limit).select("trace_id")
+            page = F.broadcast(page) if self.limit <= MOST_PAGE else page
+            return summaries(self.df.join(page, "trace_id", "left_semi")).orderBy(F.col("latest_ns").desc(), "trace_id")
         out = summaries(spans)
         if self.trace_start:
             for p in time_range(F.col("start_time_ns"), start, end, inclusive):
                 out = out.where(p)
-        out = out.orderBy(F.col("latest_ns").desc(), "trace_id")
-        return out if self.limit is None else out.limit(self.limit)
+        return out.orderBy(F.col("latest_ns").desc(), "trace_id")
 
 
 @dataclass(frozen=True)
 class SpanMetricsQuery(SpanFilter):
-    """Calls, errors and duration quantiles per step and group."""
+    """Calls, errors and duration quantiles per step and group; quantiles interpolate over all durations.
+
+    approximate() gives ranks within 1 part in 10,000 without interpolation, of bounded state, for groups of very many spans.
+    """
 
     step: int = 60_000_000_000
     by: tuple[str, ...] = ()
@@ -103,6 +118,9 @@ class SpanMetricsQuery(SpanFilter):
     def every(self, step: int):
         return replace(self, step=max(1, step))
 
+    def approximate(self):
+        return replace(self, exact=False)
+
     def _key(self, key: str) -> Column:
         return F.col(key) if key in ("name", "kind", "status_code") else self.attr(key)
 

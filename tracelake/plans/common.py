@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from math import gcd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,9 +60,22 @@ class EvalRange:
         return F.when(first <= final, F.transform(F.sequence(first, final), lambda k: start + k * step)).otherwise(F.array().cast("array<bigint>"))
 
 
+    def pane_of(self, ns: Column, window: int) -> Column:
+        """The end of the pane that holds a sample.  Panes are as wide as the greatest common divisor of step and window,
+        so every sample of a pane is in the same windows: aggregate by pane first, then explode panes to instants."""
+        width = gcd(self.step, window)
+        start, w = F.lit(self.start).cast("long"), F.lit(width).cast("long")
+        return start + _div(ns - start + w - 1, w) * w
+
+
 def _div(a: Column, b: Column) -> Column:
     """Floored integer division of longs, exact beyond 2**53."""
-    return ((a - F.pmod(a, b)).cast("decimal(20,0)") / b.cast("decimal(20,0)")).cast("long")
+    return F.call_function("div", a - F.pmod(a, b), b)
+
+
+def required(test: Column, kind: str, message: str, value: Column) -> Column:
+    """value where test holds; else the query fails when it runs, without a job of its own to find out."""
+    return F.when(F.coalesce(test, F.lit(False)), value).otherwise(F.raise_error(F.lit(f"{kind}: {message}")).cast("long"))
 
 
 class Cursor:

@@ -109,6 +109,7 @@ def logql(text: str, logs: DataFrame, span: EvalRange | None = None, streams: di
     rows = _selected(query.lines, logs.where((F.col("time_ns") >= F.lit(low).cast("long")) & (F.col("time_ns") <= F.lit(high).cast("long"))), streams)
     labels = F.col("labels") if query.keys is None else sorted_map(subset(F.col("labels"), list(query.keys)))
     shifted = F.col("time_ns") + F.lit(query.offset).cast("long")
-    counted = rows.select(labels.alias("labels"), F.explode(span.instants_of(shifted, query.window)).alias("at")).groupBy("labels", "at").agg(F.count("*").alias("n"))
+    panes = rows.select(labels.alias("labels"), span.pane_of(shifted, query.window).alias("pane")).groupBy("labels", "pane").agg(F.count("*").alias("n"))
+    counted = panes.select("labels", "n", F.explode(span.instants_of(F.col("pane"), query.window)).alias("at")).groupBy("labels", "at").agg(F.sum("n").alias("n"))
     value = F.col("n") / (query.window / 1e9) if query.function == "rate" else F.col("n").cast("double")
     return counted.select("labels", "at", value.alias("value"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classic_histogram_quantile
-from .common import Cursor, Diagnostic, EvalRange, labels_of, matcher, read_matchers, sorted_map, subset
+from .common import Cursor, Diagnostic, EvalRange, labels_of, matcher, read_matchers, required, sorted_map, subset
 
 
 @dataclass(frozen=True)
@@ -126,24 +127,34 @@ def _no_duplicates(points: DataFrame, policy: str) -> DataFrame:
     if policy == "last_wins":
         order = Window.partitionBy("series", "time_ns").orderBy(F.isnan("value").asc(), F.col("value").desc())
         return points.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    again = points.groupBy("series", "time_ns").count().where("count > 1").limit(1).collect() if policy == "error" else []
-    if again:
-        raise ValueError(f"duplicate samples of series {again[0]['series']} at {again[0]['time_ns']}")
+    if policy == "error":
+        others = [F.first(c).alias(c) for c in points.columns if c not in ("series", "time_ns")]
+        once = points.groupBy("series", "time_ns").agg(*others, F.count("*").alias("_n"))
+        return once.withColumn("time_ns", required(F.col("_n") == 1, "Duplicate", "duplicate samples of a series at one time", F.col("time_ns"))).drop("_n")
     return points
 
 
 def extrapolated(points: DataFrame, keys: list[str], span: EvalRange, window: int) -> DataFrame:
     """Per key and instant, the per-second rate of a counter, with resets and extrapolation; value may be null.
 
-    points: keys, time_ns, value.  One lag per series; the rest are aggregates that combine map-side.
+    points: keys, time_ns, value.  One lag per series; the rest are aggregates that combine map-side, by pane and then
+    by instant.  A fall of the counter counts where the sample before is in the window too: always, but for a pane's
+    first sample, which is kept apart.
     """
     series = Window.partitionBy(*keys).orderBy("time_ns")
     rows = points.select(*keys, "time_ns", "value", F.lag("value").over(series).alias("pv"), F.lag("time_ns").over(series).alias("pt"))
-    at = rows.withColumn("at", F.explode(span.instants_of(F.col("time_ns"), window)))
-    reset = F.when((F.col("value") < F.col("pv")) & (F.col("pt") > F.col("at") - F.lit(window).cast("long")), F.col("pv")).otherwise(0.0)
-    per = at.groupBy(*keys, "at").agg(
-        F.count("*").alias("n"), F.min("time_ns").alias("t0"), F.max("time_ns").alias("t1"), F.min_by("value", "time_ns").alias("v0"), F.max_by("value", "time_ns").alias("v1"), F.sum(reset).alias("resets")
-    )
+    rows = rows.withColumn("pane", span.pane_of(F.col("time_ns"), window))
+    fell = F.when(F.col("value") < F.col("pv"), F.col("pv")).otherwise(0.0)
+    inner = F.col("pt") > F.col("pane") - F.lit(gcd(span.step, window)).cast("long")
+    first, last = F.min(F.struct("time_ns", "value")), F.max(F.struct("time_ns", "value"))
+    panes = rows.groupBy(*keys, "pane").agg(
+        F.count("*").alias("n"), first.alias("a"), last.alias("z"), F.sum(F.when(inner, fell).otherwise(0.0)).alias("resets"),
+        F.min_by(F.struct(F.col("pt").alias("t"), fell.alias("v")), "time_ns").alias("before"),
+    )
+    at = panes.withColumn("at", F.explode(span.instants_of(F.col("pane"), window)))
+    crossed = F.when((F.col("before.t") > F.col("at") - F.lit(window).cast("long")) & (F.col("before.t") <= F.col("pane") - F.lit(gcd(span.step, window)).cast("long")), F.col("before.v")).otherwise(0.0)
+    per = at.groupBy(*keys, "at").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.max("z").alias("z"), F.sum(F.col("resets") + crossed).alias("resets"))
+    per = per.select(*keys, "at", "n", F.col("a.time_ns").alias("t0"), F.col("z.time_ns").alias("t1"), F.col("a.value").alias("v0"), F.col("z.value").alias("v1"), "resets")
     second = 1e9
     increase = F.col("v1") - F.col("v0") + F.col("resets")
     sampled = (F.col("t1") - F.col("t0")) / second
@@ -197,14 +208,16 @@ class Compiler:
         look = self.span.lookback
         rows = self._named(("metrics_gauge", "metrics_sum"), s, s.metric, look).withColumn("series", F.to_json("labels"))
         rows = _no_duplicates(rows, self.duplicates)
-        at = rows.withColumn("at", F.explode(self.span.instants_of(F.col("time_ns"), look)))
-        return at.groupBy("series", "at").agg(F.first("labels").alias("labels"), F.max_by("value", "time_ns").alias("value")).select("labels", "at", "value")
+        latest = F.max_by(F.struct("time_ns", "value"), "time_ns").alias("x")
+        panes = rows.groupBy("series", self.span.pane_of(F.col("time_ns"), look).alias("pane")).agg(latest)
+        at = panes.withColumn("at", F.explode(self.span.instants_of(F.col("pane"), look)))
+        out = at.groupBy("series", "at").agg(F.max_by("x.value", "x.time_ns").alias("value"))
+        return out.select(F.from_json("series", "map<string,string>").alias("labels"), "at", "value")
 
     def rate(self, r: Rate) -> DataFrame:
         rows = self._named(("metrics_sum",), r.selector, r.selector.metric, r.window)
         fits = (F.upper("temporality") == "CUMULATIVE") & F.col("is_monotonic")
-        if rows.where(~F.coalesce(fits, F.lit(False))).limit(1).count():
-            raise Diagnostic("SemanticMismatch", "rate requires a cumulative monotonic sum", 0)
+        rows = rows.withColumn("time_ns", required(fits, "SemanticMismatch", "rate requires a cumulative monotonic sum", F.col("time_ns")))
         rows = _no_duplicates(rows.select(sorted_map(subset(F.col("labels"), [], True)).alias("labels"), "time_ns", "value").withColumn("series", F.to_json("labels")), self.duplicates)
         rated = extrapolated(rows, ["series"], self.span, r.window)
         return rated.select(F.from_json("series", "map<string,string>").alias("labels"), "at", "value")
@@ -212,8 +225,8 @@ class Compiler:
     def quantile(self, q: Quantile) -> DataFrame:
         s = q.rate.selector
         rows = _filtered(self.tables["metrics_histogram"], s, s.metric.removesuffix("_bucket"), self.span, q.rate.window)
-        if rows.where(F.coalesce(F.upper("temporality") != "CUMULATIVE", F.lit(True)) | (F.size("bucket_counts") != F.size("explicit_bounds") + 1)).limit(1).count():
-            raise Diagnostic("SemanticMismatch", "histogram_quantile requires cumulative histograms with one more count than bounds", 0)
+        fits = (F.upper("temporality") == "CUMULATIVE") & (F.size("bucket_counts") == F.size("explicit_bounds") + 1)
+        rows = rows.withColumn("time_ns", required(fits, "SemanticMismatch", "histogram_quantile requires cumulative histograms with one more count than bounds", F.col("time_ns")))
         rows = rows.select(F.to_json(sorted_map(subset(F.col("labels"), [], True))).alias("series"), "time_ns", "explicit_bounds", "bucket_counts")
         running = F.transform("bucket_counts", lambda _, i: F.aggregate(F.slice("bucket_counts", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, b: a + b).cast("double"))
         rows = rows.withColumn("running", running).select("series", "time_ns", F.concat("explicit_bounds", F.array(F.lit(math.inf))).alias("les"), F.posexplode("running").alias("i", "value"))

@@ -283,13 +283,44 @@ class Compiler:
         return right.join(hit.select(*key).distinct(), key, how)
 
 
+def _candidates(e, spans: DataFrame, test) -> DataFrame:
+    """Ids of traces that can have a result: each leaf that must match has a span that passes its own predicates.
+
+    Predicates on the whole trace or on children are left to the evaluation.
+    """
+    if isinstance(e, Select):
+        rows = spans
+        for p in e.predicates:
+            if not (p.scope == "intrinsic" and p.field in ("childCount", "traceDuration", "rootServiceName", "rootName")):
+                rows = rows.where(test(p))
+        return rows.select("trace_id").distinct()
+    if isinstance(e, Count):
+        return _candidates(e.inner, spans, test)  # only traces with matches are counted
+    left, right = _candidates(e.left, spans, test), _candidates(e.right, spans, test)
+    if isinstance(e, Either):
+        return left.unionByName(right).distinct()
+    if isinstance(e, Structural) and e.union:
+        return left.unionByName(right).distinct()
+    if isinstance(e, Structural) and e.negated:
+        return right
+    return left.join(right, "trace_id", "left_semi")
+
+
 def traceql(text: str, spans: DataFrame, span: EvalRange | None = None, limit: int | None = None) -> DataFrame:
     """(trace_id hex, start_time_ns, span_ids) of the traces that start in the range and have a selected span, newest first."""
     query = parse(text)
-    starts = spans.groupBy("trace_id").agg(F.min("start_time_ns").alias("start_time_ns"), F.max("start_time_ns").alias("latest"))
+    inside = spans
+    if span:
+        # a trace that starts in the range has a span in it; that it starts there is checked below
+        bounds = (F.col("start_time_ns") >= F.lit(span.start).cast("long")) & (F.col("start_time_ns") <= F.lit(span.end).cast("long"))
+        inside = spans.join(spans.where(bounds).select("trace_id").distinct(), "trace_id", "left_semi")
+    if not isinstance(query, Select):
+        inside = inside.join(_candidates(query, inside, Compiler(inside)._test), "trace_id", "left_semi")
+    found = Compiler(inside).evaluate(query)
+    starts = inside.join(found.select("trace_id").distinct(), "trace_id", "left_semi").groupBy("trace_id").agg(F.min("start_time_ns").alias("start_time_ns"), F.max("start_time_ns").alias("latest"))
     if span:
-        starts = starts.where((F.col("start_time_ns") >= F.lit(span.start).cast("long")) & (F.col("start_time_ns") <= F.lit(span.end).cast("long")))
-        spans = spans.join(starts.select("trace_id"), "trace_id", "left_semi")
-    found = Compiler(spans).evaluate(query).groupBy("trace_id").agg(F.array_sort(F.collect_set(hex_lower(F.col("span_id")))).alias("span_ids"))
-    out = found.join(starts, "trace_id").orderBy(F.col("latest").desc(), "trace_id").select(hex_lower(F.col("trace_id")).alias("trace_id"), "start_time_ns", "span_ids")
-    return out if limit is None else out.limit(limit)
+        starts = starts.where(bounds)
+    if limit is not None:  # the page first, then the span ids of its traces
+        starts = starts.orderBy(F.col("latest").desc(), "trace_id").limit(limit)
+    out = found.join(starts, "trace_id").groupBy("trace_id", "start_time_ns", "latest").agg(F.array_sort(F.collect_set(hex_lower(F.col("span_id")))).alias("span_ids"))
+    return out.orderBy(F.col("latest").desc(), "trace_id").select(hex_lower(F.col("trace_id")).alias("trace_id"), "start_time_ns", "span_ids")

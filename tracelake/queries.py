@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import surface
 from .operators import ExpHistogramQuery, HistogramQuery, LogQuery, MetricQuery, SpanMetricsQuery, TraceQuery, attribute_names, attribute_values, metric_catalog, metric_dimensions, metric_exemplars, metric_series, summaries, waterfall
+from .functions import floor_div
 from .operators.attrstats import key_statistics
 from .operators.traces import ancestors
 from .plans import EvalRange, logql, promql, traceql
@@ -226,12 +227,11 @@ def span_red_metrics(spark, d):
 
 
 @_query(
-    f"""with s as ({duck('span_rows')}), w as (select *, row_number() over (partition by trace order by start_time_ns, {_SPAN.format('span')}) - 1 as row, min(start_time_ns) over (partition by trace) as t0, greatest(max(start_time_ns + duration_ns) over (partition by trace) - min(start_time_ns) over (partition by trace), 1) as total from s where trace % 10 = 0)
+    f"""with s as ({duck('span_rows')}), w as (select *, row_number() over (partition by trace order by start_time_ns, {_SPAN.format('span')}) - 1 as row, min(start_time_ns) over (partition by trace) as t0, greatest(max(start_time_ns + duration_ns) over (partition by trace) - min(start_time_ns) over (partition by trace), 1) as total from s)
  select {_TRACE.replace('trace', 'a.trace')} as trace_id, a.row as row, a.name as name, round(least(greatest((a.start_time_ns - a.t0) / a.total::double, 0), 1), 9) as offset, round(least(greatest(a.duration_ns / a.total::double, 0), 1), 9) as width, b.row as parent_row from w a left join w b on a.trace = b.trace and a.parent = b.span"""
 )
 def trace_waterfall(spark, d):
-    spans = view(spark, d, "spans").where("cast(conv(hex(trace_id), 16, 10) as bigint) % 10 = 0")
-    return waterfall(spans).select(F.lower(F.hex("trace_id")).alias("trace_id"), F.col("row").cast("long").alias("row"), "name", F.round("offset", 9).alias("offset"), F.round("width", 9).alias("width"), F.col("parent_row").cast("long").alias("parent_row"))
+    return waterfall(view(spark, d, "spans")).select(F.lower(F.hex("trace_id")).alias("trace_id"), F.col("row").cast("long").alias("row"), "name", F.round("offset", 9).alias("offset"), F.round("width", 9).alias("width"), F.col("parent_row").cast("long").alias("parent_row"))
 
 
 @_query(f"""with recursive s as ({duck('span_rows')}), a as (select trace, span, parent as anc from s where parent is not null union all select a.trace, a.span, s.parent from a join s on a.trace = s.trace and a.anc = s.span where s.parent is not null)
@@ -361,7 +361,7 @@ def stream_dedup(spark, d):
 def stream_reassemble(spark, d):
     rows = spark.read.parquet(f"{d}/conversations.parquet")
     chunks = rows.select(F.col("conv_id").alias("chunk_id"), F.col("turn").alias("ordinal"), (F.col("conv_id") * 1000 + F.col("turn")).alias("time_ns"), F.lit("stdout").alias("source"), "text")
-    return reassemble(chunks).select((F.col("time_ns") / 1000).cast("long").alias("conv_id"), "line")
+    return reassemble(chunks).select(floor_div(F.col("time_ns"), 1000).alias("conv_id"), "line")
 
 
 @_query("select event_id * 1000000 as time_ns, event_type as service, 'user ' || user_id as body, 17 as severity_number, '{\"k\":' || cast(event_id % 7 as varchar) || '}' as attributes from events where event_type = 'error'")
@@ -385,12 +385,16 @@ def otlp_logs(spark, d):
     return rows.agg(F.count("*").alias("n"), F.countDistinct("body").alias("bodies"), F.min("body").alias("first"), F.sum(json_get_num(F.col("attributes"), "k")).cast("long").alias("total"))
 
 
-@_query("""with a as (select event_type as segment, cast(props::json ->> 'k' as varchar) as value from events), v as (select value, count(distinct segment) as held, count(*) as n from a group by 1)
- select 'k' as key, sum(n)::bigint as rows_present, 0::bigint as rows_string, (select count(distinct segment) from a) as segments_present, count(*) as distinct_values, sum(held)::bigint as postings, round(avg(held / 5.0), 9) as sigma_mean, round(sum(n) / count(*), 6) as repetition, '-' as promote from v""")
+@_query("""with a as (select event_type as segment, cast(props::json ->> 'k' as varchar) as value, epoch_us(ts) as us, event_id from events), v as (select value, count(distinct segment) as held, count(*) as n from a group by 1),
+ u as (select count(distinct segment)::double as segments, count(*)::double as rows, (select count(distinct d) from (select min(us) // 86400000000 as d from a group by segment) x)::double as days from a),
+ t as (select sum(n)::bigint as rows_present, count(*) as distinct_values, sum(held)::bigint as postings, avg(held) as mean_held from v),
+ d as (select count(*) as n from (select distinct value, day from a join (select segment, min(us) // 86400000000 as day from a group by 1) f using (segment)) x)
+ select 'k' as key, rows_present, 0::bigint as rows_string, segments::bigint as segments_present, distinct_values, postings, round(mean_held / segments, 9) as sigma_mean, round(rows_present / postings, 6) as repetition, round(d.n / days, 6) as distinct_24h,
+ case when 0 < 0.9 then 'no' end as promote, case when postings / segments / distinct_values <= 0.25 then 'all' when (postings / segments) / (d.n / days) <= 0.25 then '24h' end as index_scale from t, u, d""")
 def attribute_statistics(spark, d):
     logs = view(spark, d, "logs").withColumn("segment", F.col("service"))
     out = key_statistics(logs)
-    return out.select("key", "rows_present", "rows_string", "segments_present", "distinct_values", "postings", F.round("sigma_mean", 9).alias("sigma_mean"), F.round("repetition", 6).alias("repetition"), "promote")
+    return out.select("key", "rows_present", "rows_string", "segments_present", "distinct_values", "postings", F.round("sigma_mean", 9).alias("sigma_mean"), F.round("repetition", 6).alias("repetition"), F.round("distinct_24h", 6).alias("distinct_24h"), "promote", "index_scale")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """df, written to the session's checkpoint folder and read from there; a temporary folder only where none is set."""
+    """df, written to the session's checkpoint folder and read from there; a temporary folder only where none is set and the master is local."""
     spark = df.sparkSession
     have = spark.sparkContext._jsc.sc().getCheckpointDir()
     if have.isDefined():
         folder = have.get()
     else:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracelake-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tracelake-"))
         folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -1,24 +1,44 @@
 """Telemetry tables as Parquet by UTC day: writing, promotion, retention, compaction, export and figures.
 
-A table is a folder of day partitions.  Files keep their rows sorted by time,
-so statistics prune row groups; ids of spans have bloom filters.  Promoted
-attributes are string columns named after their keys, filled from the JSON;
-files from before a promotion read them as null and queries fall back.
+A table is a folder of day partitions.  A day is written by as many tasks as
+its hours need; files keep their rows sorted by time, so statistics prune row
+groups; ids of spans have bloom filters.  Promoted attributes are string
+columns named after their keys, filled from the JSON; files from before a
+promotion read them as null and queries fall back.
+
+Readers take a list of files (``files``), which a ``Snapshot`` pins.  Compaction
+adds files named after its run, which no reader takes until the run's one small
+list of replaced files is renamed into place; from then on they stand for the
+old ones.  That rename is the only switch, so a crash before or after it loses
+and doubles nothing.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import json_get_str
+from ..functions import floor_div, json_get_str
 from . import schema as S
 
-_DAY = 86_400_000_000_000
+_DAY, _HOUR = 86_400_000_000_000, 3_600_000_000_000
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """The files of every table at one moment; later writes and compactions do not show in it."""
+
+    store: Store
+    listing: dict[str, tuple[str, ...]]
+
+    def read(self, table: str) -> DataFrame:
+        return self.store.read(table, list(self.listing[table]))
 
 
 @dataclass(frozen=True)
@@ -45,12 +65,34 @@ class Store:
         fs, at = self._fs(a)
         fs.rename(at, self._fs(b)[1])
 
+    def _mkdirs(self, path: str) -> None:
+        fs, at = self._fs(path)
+        fs.mkdirs(at)
+
+    def _names(self, path: str) -> list[str]:
+        fs, at = self._fs(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+    def _size(self, path: str) -> int:
+        fs, at = self._fs(path)
+        return fs.getFileStatus(at).getLen()
+
+    def _text(self, path: str) -> str:
+        fs, at = self._fs(path)
+        stream = fs.open(at)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _put(self, path: str, text: str) -> None:
+        fs, at = self._fs(path)
+        stream = fs.create(at, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
     def _days(self, table: str) -> list[int]:
-        root = f"{self.path}/{table}"
-        if not self._exists(root):
-            return []
-        fs, at = self._fs(root)
-        return sorted(int(s.getPath().getName().removeprefix("day=")) for s in fs.listStatus(at) if s.getPath().getName().startswith("day="))
+        return sorted(int(n.removeprefix("day=")) for n in self._names(f"{self.path}/{table}") if n.startswith("day="))
 
     def promoted(self) -> list[str]:
         at = f"{self.path}/promoted"
@@ -66,10 +108,10 @@ class Store:
         out = S.coerce(df, table, keys)
         return out.withColumns({k: F.coalesce(F.col(f"`{k}`"), json_get_str(F.col("attributes"), k)) for k in keys}) if keys else out
 
-    def _write(self, df: DataFrame, table: str, path: str) -> None:
+    def _write(self, df: DataFrame, table: str, path: str, mode: str = "append") -> None:
         ns = F.col(S.time_column(table))
-        days = df.withColumn("day", ((ns - F.pmod(ns, F.lit(_DAY))) / _DAY).cast("int"))
-        out = days.repartition("day").sortWithinPartitions("day", S.time_column(table)).write.mode("append").partitionBy("day").option("compression", self.compression)
+        days = df.withColumn("day", floor_div(ns, _DAY).cast("int"))
+        out = days.repartition("day", floor_div(ns, _HOUR)).sortWithinPartitions("day", S.time_column(table)).write.mode(mode).partitionBy("day").option("compression", self.compression)
         if table == "spans":
             out = out.option("parquet.bloom.filter.enabled#trace_id", "true").option("parquet.bloom.filter.enabled#span_id", "true")
         out.parquet(path)
@@ -77,12 +119,47 @@ class Store:
     def append(self, df: DataFrame, table: str) -> None:
         self._write(self._filled(df, table), table, f"{self.path}/{table}")
 
-    def read(self, table: str) -> DataFrame:
-        """The table with its promoted columns; days prune partitions and the time column prunes row groups."""
+    def append_once(self, df: DataFrame, table: str, token: str) -> None:
+        """Append under a token: what an earlier try of the same token left is replaced, and a finished one is not repeated."""
+        done, staged = f"{self.path}/.batches/{token}/{table}", f"{self.path}/.staging/{token}-{table}"
+        if self._exists(done):
+            return
+        for day in self._days(table):
+            for name in self._names(f"{self.path}/{table}/day={day}"):
+                if name.startswith(f"b-{token}-"):
+                    self._delete(f"{self.path}/{table}/day={day}/{name}")
+        self._write(self._filled(df, table), table, staged, "overwrite")
+        for folder in self._names(staged):
+            if folder.startswith("day="):
+                self._mkdirs(f"{self.path}/{table}/{folder}")
+                for i, name in enumerate(n for n in self._names(f"{staged}/{folder}") if n.endswith(".parquet")):
+                    self._rename(f"{staged}/{folder}/{name}", f"{self.path}/{table}/{folder}/b-{token}-{i}.parquet")
+        self._mkdirs(done)
+        self._delete(staged)
+
+    def _listed(self, folder: str) -> list[str]:
+        """The names of the data files of a day that a reader takes."""
+        names = self._names(folder)
+        runs = {n.removeprefix("_run-").removesuffix(".json") for n in names if n.startswith("_run-") and n.endswith(".json")}
+        replaced = {x for r in runs for x in json.loads(self._text(f"{folder}/_run-{r}.json"))}
+        data = [n for n in names if n.endswith(".parquet") and not n.startswith(("_", "."))]
+        return [n for n in data if n not in replaced and (not n.startswith("c-") or n.split("-")[1] in runs)]
+
+    def files(self, table: str) -> list[str]:
         root = f"{self.path}/{table}"
-        if not self._days(table):
+        return [f"{root}/day={d}/{n}" for d in self._days(table) for n in self._listed(f"{root}/day={d}")]
+
+    def snapshot_files(self) -> Snapshot:
+        """A reader's view that stays as it is."""
+        return Snapshot(self, {t: tuple(self.files(t)) for t in S.TABLES})
+
+    def read(self, table: str, files: list[str] | None = None) -> DataFrame:
+        """The table with its promoted columns; days prune partitions and the time column prunes row groups."""
+        files = self.files(table) if files is None else files
+        if not files:
             return self.spark.createDataFrame([], S.schema(table))
-        return S.coerce(self.spark.read.option("mergeSchema", "true").parquet(root), table, self.promoted())
+        rows = self.spark.read.option("mergeSchema", "true").option("basePath", f"{self.path}/{table}").parquet(*files)
+        return S.coerce(rows, table, self.promoted())
 
     def register(self) -> None:
         """Every table as a temporary view, for spark.sql."""
@@ -90,14 +167,21 @@ class Store:
             self.read(t).createOrReplaceTempView(t)
 
     def export(self, table: str, start: int | None = None, end: int | None = None) -> pa.RecordBatchReader:
-        """Rows of a time range in time order, as Arrow batches."""
-        rows, ns = self.read(table), F.col(S.time_column(table))
-        rows = rows if start is None else rows.where(ns >= F.lit(start).cast("long"))
-        rows = rows if end is None else rows.where(ns < F.lit(end).cast("long"))
-        return rows.orderBy(S.time_column(table)).toArrow().to_reader()
+        """Rows of a time range in time order, as Arrow batches; an hour at a time is on the driver."""
+        rows, ns = self.read(table), S.time_column(table)
+        inside = lambda a, b: rows.where((F.col(ns) >= F.lit(a).cast("long")) & (F.col(ns) < F.lit(b).cast("long")))
+        low, high = rows.agg(F.min(ns), F.max(ns)).first()
+        first = rows.limit(0).toArrow()
 
-    def files(self, table: str) -> list[str]:
-        return sorted(self.read(table).inputFiles()) if self._days(table) else []
+        def batches() -> Iterator[pa.RecordBatch]:
+            if low is None:
+                return
+            a, z = max(low, low if start is None else start), min(high + 1, high + 1 if end is None else end)
+            hours = [r.h for r in inside(a, z).select(floor_div(F.col(ns), _HOUR).alias("h")).distinct().orderBy("h").toLocalIterator()] if a < z else []
+            for h in hours:
+                yield from inside(max(a, h * _HOUR), min(z, (h + 1) * _HOUR)).orderBy(ns).toArrow().cast(first.schema).to_batches()
+
+        return pa.RecordBatchReader.from_batches(first.schema, batches())
 
     def stats(self) -> DataFrame:
         """Rows, files and time span of each table."""
@@ -128,32 +212,49 @@ class Store:
             self._delete(f"{self.path}/{t}/day={d}")
         return len(gone)
 
-    def compact(self, most_partitions: int | None = None) -> int:
-        """Rewrite days of several files, or that lack a promoted column, as one sorted file; how many were rewritten.
-
-        A day is written beside its partition and then swapped in, so readers see the old files or the new one.
-        """
+    def compact(self, most_partitions: int | None = None, file_bytes: int = 512 << 20) -> int:
+        """Rewrite days of several small files, or that lack a promoted column, as sorted files of about file_bytes; how many were rewritten."""
         done = 0
         for t in S.TABLES:
+            wanted = {n for n, _ in S.columns(t)} | set(self.promoted())
             for d in self._days(t):
                 if most_partitions is not None and done >= most_partitions:
                     return done
                 at = f"{self.path}/{t}/day={d}"
-                rows = self.spark.read.option("mergeSchema", "true").parquet(at)
-                wanted = {n for n, _ in S.columns(t)} | set(self.promoted())
-                if len(rows.inputFiles()) == 1 and set(rows.columns) == wanted:
+                self._sweep(at)
+                names = self._listed(at)
+                size = sum(self._size(f"{at}/{n}") for n in names)
+                files = max(1, -(-size // file_bytes))
+                if not names or len(names) <= files and set(self.spark.read.option("mergeSchema", "true").parquet(*[f"{at}/{n}" for n in names]).columns) == wanted:
                     continue
-                new = f"{self.path}/.compact/{t}-{d}"
+                run, new = uuid.uuid4().hex, f"{self.path}/.compact/{t}-{d}"
+                rows = self.spark.read.option("mergeSchema", "true").parquet(*[f"{at}/{n}" for n in names])
+                ns = S.time_column(t)
+                out = self._filled(rows, t)
+                out = out.coalesce(1) if files == 1 else out.repartitionByRange(files, ns)
+                write = out.sortWithinPartitions(ns).write.mode("overwrite").option("compression", self.compression)
+                if t == "spans":
+                    write = write.option("parquet.bloom.filter.enabled#trace_id", "true").option("parquet.bloom.filter.enabled#span_id", "true")
+                write.parquet(new)
+                for i, n in enumerate(x for x in self._names(new) if x.endswith(".parquet")):
+                    self._rename(f"{new}/{n}", f"{at}/c-{run}-{i}.parquet")
+                self._put(f"{at}/_new-{run}.json", json.dumps(names))
+                self._rename(f"{at}/_new-{run}.json", f"{at}/_run-{run}.json")  # the switch
                 self._delete(new)
-                self._filled(rows, t).coalesce(1).sortWithinPartitions(S.time_column(t)).write.option("compression", self.compression).parquet(new)
-                old = f"{self.path}/.compact/old-{t}-{d}"
-                self._delete(old)
-                self._rename(at, old)
-                self._rename(new, at)
-                self._delete(old)
                 done += 1
         return done
 
+    def _sweep(self, folder: str) -> None:
+        """Delete files that no reader takes: replaced ones, and what a run left that never switched.  A list of
+        replaced files stays as long as files of its run do."""
+        taken, names = set(self._listed(folder)), self._names(folder)
+        for n in names:
+            if n.endswith(".parquet") and n not in taken or n.startswith("_new-"):
+                self._delete(f"{folder}/{n}")
+        for n in names:
+            if n.startswith("_run-") and not any(x.startswith(f"c-{n[5:-5]}-") for x in taken):
+                self._delete(f"{folder}/{n}")
+
     def snapshot(self, path: str) -> Store:
         """A copy of the store as it is now."""
         jvm = self.spark.sparkContext._jvm

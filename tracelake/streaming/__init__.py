@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .events import dedup_points, session_volume, sliding_volume, tumbling_volume
-from .lines import reassemble, remap, render_logfmt, tail
+from .lines import follow, reassemble, reassemble_stream, remap, render_logfmt, tail
 
-__all__ = ["dedup_points", "reassemble", "remap", "render_logfmt", "session_volume", "sliding_volume", "tail", "tumbling_volume"]
+__all__ = ["dedup_points", "follow", "reassemble", "reassemble_stream", "remap", "render_logfmt", "session_volume", "sliding_volume", "tail", "tumbling_volume"]

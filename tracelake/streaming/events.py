@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import floor_div
+
 
 def event_time(ns: str = "time_ns"):
-    return F.timestamp_micros(((F.col(ns) - F.pmod(F.col(ns), F.lit(1000))) / 1000).cast("long"))
+    return F.timestamp_micros(floor_div(F.col(ns), 1000))
 
 
 def with_time(df: DataFrame, delay: str | None, ns: str = "time_ns") -> DataFrame:
