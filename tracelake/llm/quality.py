@@ -45,7 +45,7 @@ _KIND[0x30:0x3A] = 3
 
 def _index_vectors(seed: int) -> tuple[np.ndarray, np.ndarray]:
     random = np.random.default_rng(seed)
-    return random.integers(0, DIM, (BUCKETS, ONES)), random.choice(np.array([-1.0, 1.0]), (BUCKETS, ONES))
+    return random.integers(0, DIM, (BUCKETS, ONES)), random.choice(np.array([-1, 1], np.int32), (BUCKETS, ONES))
 
 
 def _pieces(x: t.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -67,9 +67,9 @@ def _pieces(x: t.Texts) -> tuple[np.ndarray, np.ndarray]:
 def _context_sums(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, sign = _index_vectors(seed)
-        total, seen, any_ = np.zeros(BUCKETS * DIM), np.zeros(BUCKETS), False
+        total, seen, any_ = np.zeros(BUCKETS * DIM, np.int32), np.zeros(BUCKETS, np.int32), False
         for batch in batches:
-            for _, _, x in t.slices(batch.column("text"), 1 << 22):
+            for _, _, x in t.slices(batch.column("text")):
                 any_ = True
                 b, bound = _pieces(x)
                 seen += np.bincount(b, minlength=BUCKETS)
@@ -80,9 +80,9 @@ def _context_sums(seed: int):
                     for turn, (word, other) in enumerate(((two, one), (one, two))):
                         turn = 7 * (k - 1) + 3 * turn  # each distance and side has a rotation of its own
                         for i in range(ONES):
-                            total += np.bincount(word * DIM + (place[other, i] + turn) % DIM, weights=sign[other, i], minlength=BUCKETS * DIM)
+                            np.add.at(total, word * DIM + (place[other, i] + turn) % DIM, sign[other, i])
         if any_:
-            both = np.concatenate([total.reshape(BUCKETS, DIM), seen[:, None]], axis=1).astype(np.int32)
+            both = np.concatenate([total.reshape(BUCKETS, DIM), seen[:, None]], axis=1)
             for i in range(0, BUCKETS, ROWS):
                 yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([both[i : i + ROWS].tobytes()])], ["first", "sums"])
 
@@ -122,12 +122,12 @@ def features(x: t.Texts, vectors: np.ndarray) -> np.ndarray:
     # gather vectors for a few documents at a time; a longer one in parts that are added up
     at = 0
     while at < len(full):
-        to = max(at + 1, int(np.searchsorted(bound[full + 1], bound[full[at]] + 50_000, side="right")))
+        to = max(at + 1, int(np.searchsorted(bound[full + 1], bound[full[at]] + 16_000, side="right")))
         docs = full[at:to]
         sums = np.zeros((3, len(docs), DIM))
         low, high = int(bound[docs[0]]), int(bound[docs[-1] + 1])
-        for a in range(low, high, 50_000):
-            z = min(a + 50_000, high)
+        for a in range(low, high, 16_000):
+            z = min(a + 16_000, high)
             v = vectors[b[a : min(z + 1, high)]]
             then = np.zeros((z - a, DIM), np.float32)
             then[: len(v) - 1] = v[: z - a][: len(v) - 1] * v[1:]
