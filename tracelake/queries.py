@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -397,6 +398,149 @@ def attribute_statistics(spark, d):
     return out.select("key", "rows_present", "rows_string", "segments_present", "distinct_values", "postings", F.round("sigma_mean", 9).alias("sigma_mean"), F.round("repetition", 6).alias("repetition"), F.round("distinct_24h", 6).alias("distinct_24h"), "promote", "index_scale")
 
 
+# operators beside those above, each by itself
+
+
+@_query(_with("logs", f"select service, count(*) as n from logs where service = 'click' and time_ns >= {T0 + DAY} and time_ns <= {T0 + 5 * DAY} group by 1"))
+def logs_attr_eq(spark, d):
+    return _logs(spark, d).attr_eq("service.name", "click").range_inclusive(T0 + DAY, T0 + 5 * DAY).rows().groupBy("service").agg(F.count("*").alias("n"))
+
+
+@_query(_with("g", "select attributes::json ->> 'shard' as shard, count(*) as n from g where regexp_matches(attributes::json ->> 'shard', '^s[12]$') group by 1", "metrics_gauge"))
+def metrics_attr_regex(spark, d):
+    q = LogQuery(view(spark, d, "metrics_gauge")).attr_exists("shard").attr_regex("shard", "^s[12]$")
+    return q.rows().groupBy(q.attr("shard").alias("shard")).agg(F.count("*").alias("n"))
+
+
+@_query(_with("g", "select count(*) as n from g where attributes::json ->> 'shard' = 's3'", "metrics_gauge"))
+def metrics_attr_matches(spark, d):
+    return LogQuery(view(spark, d, "metrics_gauge")).attr_matches("shard", "S3").count().withColumnRenamed("count", "n")
+
+
+@_query("select 0::bigint as n")
+def logs_match_none(spark, d):
+    return _logs(spark, d).match_none().count().withColumnRenamed("count", "n")
+
+
+@_query(_with("logs", f"select count(*) as n from logs where time_ns >= {T0 + 9 * DAY} and time_ns <= {T0 + 10 * DAY}"))
+def logs_since(spark, d):
+    return _logs(spark, d).since(DAY, T0 + 10 * DAY).count().withColumnRenamed("count", "n")
+
+
+def _observed(spark, d) -> DataFrame:
+    """Log rows that arrive five seconds after their time, with ids of a trace and a span."""
+    ids = {"trace_id": "unhex(lpad(hex(cast(split(body, ' ')[2] as bigint)), 32, '0'))", "span_id": "unhex(lpad(hex(cast(split(body, ' ')[2] as bigint) * 1000000007), 16, '0'))"}
+    return view(spark, d, "logs").withColumn("observed_time_ns", F.col("time_ns") + 5_000_000_000).withColumns({k: F.expr(x) for k, x in ids.items()})
+
+
+@_query(_with("logs", f"select time_ns, service, body from logs where time_ns + 5000000000 > {T0 + 20 * DAY} order by time_ns, body limit 40"))
+def logs_observed_after(spark, d):
+    from .streaming import tail
+
+    out = LogQuery(_observed(spark, d)).observed_after(T0 + 20 * DAY).rows()
+    return tail(out, T0 + 20 * DAY, 40).select("time_ns", "service", "body")
+
+
+@_query(_with("logs", "select time_ns, service from logs where split_part(body, ' ', 3) = '17'"))
+def logs_by_trace_id(spark, d):
+    return LogQuery(_observed(spark, d)).trace_id("11".rjust(32, "0")).span_id(f"{17 * 1000000007:016x}").rows().select("time_ns", "service")
+
+
+@_query(f"with l as ({duck('logs')}), s as ({duck('span_rows')}) select s.service, l.service as event, count(*) as n from l join s on cast(split_part(l.body, ' ', 3) as bigint) * 1000000007 = s.span group by 1, 2")
+def logs_join_spans(spark, d):
+    """Log records with the spans that they name."""
+    spans = view(spark, d, "spans").select("span_id", F.col("service").alias("span_service"))
+    return _observed(spark, d).join(spans, "span_id").groupBy(F.col("span_service").alias("service"), F.col("service").alias("event")).agg(F.count("*").alias("n"))
+
+
+@_query(f"with s as ({duck('span_rows')}) select name, count(*) as n from s where kind = 'CLIENT' and duration_ns <= 150000000 group by 1")
+def spans_by_kind_and_duration(spark, d):
+    return TraceQuery(view(spark, d, "spans")).kind("CLIENT").max_duration(150_000_000).rows().groupBy("name").agg(F.count("*").alias("n"))
+
+
+@_query(f"with s as ({duck('span_rows')}) select {_TRACE} as trace_id, name, start_time_ns, duration_ns from s where trace in (7, 12)")
+def traces_get(spark, d):
+    from .operators import get_traces
+
+    out = get_traces(view(spark, d, "spans"), ["7".rjust(32, "0"), "c".rjust(32, "0")])
+    return out.select(F.lower(F.hex("trace_id")).alias("trace_id"), "name", "start_time_ns", "duration_ns")
+
+
+def _promql_fold(op: str):
+    sql = _with("g", "", "metrics_gauge").rstrip() + _INSTANTS + f""", l as (select at_ns, service, attributes::json ->> 'shard' as shard, arg_max(value, time_ns) as v from t join g on time_ns > at_ns - {DAY} and time_ns <= at_ns group by 1, 2, 3)
+ select shard, at_ns, round({op}(v)::double, 6) as value from l group by 1, 2"""
+
+    def run(spark, d):
+        out = promql(f"{op} without (service) (event_value)", {"metrics_gauge": view(spark, d, "metrics_gauge")}, WEEK)
+        return out.select(F.col("labels")["shard"].alias("shard"), F.col("at").alias("at_ns"), F.round("value", 6).alias("value"))
+
+    run.__name__ = f"promql_{op}_without"
+    return _query(sql)(run)
+
+
+for _op in ("avg", "min", "max", "count"):
+    _promql_fold(_op)
+
+
+@_query(_with("logs", f"select time_ns, service, body from logs where service = 'error' and regexp_matches(body, 'user [12]$') and time_ns >= {WEEK.start} and time_ns <= {WEEK.end} order by time_ns desc, body limit 100"))
+def logql_lines(spark, d):
+    out = logql('{service="error"} |~ "user [12]$"', view(spark, d, "logs"), WEEK)
+    return out.select("time_ns", F.col("labels")["service"].alias("service"), "body")
+
+
+@_query(_spanset("select distinct trace, span from s where (name = 'order' and status_code = 'UNSET') or (name = 'line' and duration_ns > 95000)"))
+def traceql_or(spark, d):
+    return _traceql(spark, d, '{ name = "order" && status = "UNSET" } || { name = "line" && duration > 95us }')
+
+
+@_query(_spanset("select distinct p.trace, p.span from s c join s p on c.trace = p.trace and c.parent = p.span where c.name = 'line' and c.duration_ns >= 98000 and p.name = 'order'"))
+def traceql_parent(spark, d):
+    return _traceql(spark, d, '{ name = "line" && duration >= 98us } < { name = "order" }')
+
+
+@_query(_spanset("select distinct g.trace, g.span from s c join s p on c.trace = p.trace and c.parent = p.span join s g on p.trace = g.trace and p.parent = g.span where c.name = 'line' and c.duration_ns >= 98000 and g.name = 'customer'"))
+def traceql_ancestor(spark, d):
+    return _traceql(spark, d, '{ name = "line" && duration >= 98us } << { name = "customer" }')
+
+
+@_query(_spanset("select trace, span from s where name = 'order' and status_code = 'UNSET' union select c.trace, c.span from s c join s p on c.trace = p.trace and c.parent = p.span where p.name = 'order' and p.status_code = 'UNSET' and c.name = 'line'"))
+def traceql_union_child(spark, d):
+    return _traceql(spark, d, '{ name = "order" && status = "UNSET" } &> { name = "line" }')
+
+
+@_query(_spanset("select s.trace, s.span from s join (select trace, parent, count(*) as n from s where parent is not null group by 1, 2) c on s.trace = c.trace and s.span = c.parent where s.name = 'order' and c.n >= 7"))
+def traceql_child_count(spark, d):
+    return _traceql(spark, d, '{ name = "order" && childCount >= 7 }')
+
+
+@_query(_spanset("select s.trace, s.span from s join (select trace, max(case when parent is null then service end) as root from s group by 1) r using (trace) where s.name = 'order' and s.status_code = 'UNSET' and r.root = 'MACHINERY'"))
+def traceql_root(spark, d):
+    return _traceql(spark, d, '{ name = "order" && status = "UNSET" && rootServiceName = "MACHINERY" && rootName = "customer" }')
+
+
+@_query(_with("logs", "select time_ns, 'ts=' || strftime(make_timestamp(time_ns // 1000), '%Y-%m-%dT%H:%M:%S.%f') || lpad((time_ns % 1000)::varchar, 3, '0') || 'Z level=' || severity_text || ' msg=\"' || body || '\" k=' || (attributes::json ->> 'k') as line from logs"))
+def logs_rendered(spark, d):
+    from .streaming import render_logfmt
+
+    return render_logfmt(view(spark, d, "logs"))
+
+
+@_query(_with("logs", f"select service, count(*) as n, min(time_ns) as first, max(time_ns) as last from logs where time_ns >= {T0 + 3 * DAY} and time_ns < {T0 + 6 * DAY} group by 1"))
+def store_scan(spark, d):
+    """The log table, written by day into a store and read over three of its days, after a compaction."""
+    from .api import Engine
+    from .sources.shared import folder
+    from .sources.store import Store
+
+    store = Store(spark, f"{folder(spark)}/store-{d.rstrip('/').rpartition('/')[2]}-{uuid.uuid4().hex}")
+    rows = view(spark, d, "logs")
+    store.append(rows.where("severity_number < 17"), "logs")
+    store.append(rows.where("severity_number >= 17"), "logs")
+    store.compact(4)
+    q = Engine(store).logs().range(T0 + 3 * DAY, T0 + 6 * DAY)
+    return q.rows().groupBy("service").agg(F.count("*").alias("n"), F.min("time_ns").alias("first"), F.max("time_ns").alias("last"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return _QUERIES | surface.queries()
 

@@ -5,21 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """df, written to the session's checkpoint folder and read from there; a temporary folder only where none is set and the master is local."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a temporary one only where none is set and the master is local."""
     have = spark.sparkContext._jsc.sc().getCheckpointDir()
     if have.isDefined():
-        folder = have.get()
-    else:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tracelake-"))
-        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{folder}/{uuid.uuid4().hex}"
+        return have.get()
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="tracelake-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """df, written to the session's checkpoint folder and read from there."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
