@@ -119,6 +119,10 @@ class Texts:
         return np.searchsorted(starts, self.offsets, side="left")
 
 
+#: Bytes of a slice where a task should hold little beside it.
+SMALL = 1 << 18
+
+
 def slices(column, most: int = 1 << 20) -> Iterator[tuple[int, int, Texts]]:
     """(first row, last row, texts) of slices of about `most` bytes; null reads as empty. A longer text is a slice of its own."""
     if isinstance(column, pa.ChunkedArray):

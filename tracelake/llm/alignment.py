@@ -47,7 +47,7 @@ def _hashed(least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
-            for a, b, x in t.slices(batch.column("text")):
+            for a, b, x in t.slices(batch.column("text"), t.SMALL):
                 first, last = x.words()
                 h = t.span_hash(t.prefix_hash(t.LOWER[x.data]), first, last)
                 start, _ = x.lines()
@@ -176,7 +176,7 @@ def _aligned(least_words: int):
 def _text_hash(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, x in t.slices(batch.column("text")):
+            for a, b, x in t.slices(batch.column("text"), t.SMALL):
                 h = t.span_hash(t.prefix_hash(x.data), x.offsets[:-1], x.offsets[1:])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in batch.schema.names), pa.array(t.as_long(h))], [*batch.schema.names, name])
 

@@ -69,7 +69,7 @@ def _context_sums(seed: int):
         place, sign = _index_vectors(seed)
         total, seen, any_ = np.zeros(BUCKETS * DIM, np.int32), np.zeros(BUCKETS, np.int32), False
         for batch in batches:
-            for _, _, x in t.slices(batch.column("text")):
+            for _, _, x in t.slices(batch.column("text"), t.SMALL):
                 any_ = True
                 b, bound = _pieces(x)
                 seen += np.bincount(b, minlength=BUCKETS)
@@ -210,7 +210,7 @@ def _featured(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = shared.value
         for batch in batches:
-            for a, b, x in t.slices(batch.column("text")):
+            for a, b, x in t.slices(batch.column("text"), t.SMALL):
                 f = features(x, vectors)
                 yield pa.RecordBatch.from_arrays([batch.column("y").slice(a, b - a), pa.array([r.tobytes() for r in f], pa.binary())], ["y", "f"])
 
@@ -221,7 +221,7 @@ def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, network = shared.value
         for batch in batches:
-            for a, b, x in t.slices(batch.column("text")):
+            for a, b, x in t.slices(batch.column("text"), t.SMALL):
                 rest = [batch.column(c).slice(a, b - a) for c in batch.schema.names]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(network.score(features(x, vectors)))], [*batch.schema.names, "score"])
 
