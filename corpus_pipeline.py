@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import alignment, decontaminate, jaccard, mixing, quality
-from tracelake.llm._store import stored
+from tracelake.llm._store import stored, unused
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.3
-MOST_BROADCAST = 2_000_000
+MOST_BROADCAST = 200_000
 
 
 def _without(docs: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
@@ -44,8 +44,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = alignment.dedup_lines(docs)
     left = F.col("text").rlike(mixing.WORDS)
-    n_chars = F.when(F.col("n_deleted") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.where((F.col("n_deleted") == 0) | left).withColumn("n_chars", n_chars).select(*docs.columns)
+    out = out.where((F.col("n_deleted") == 0) | left)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +62,10 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = found.where("n_hit > 0").select("doc_id", F.col("text_hash").alias("_hash"))
-    own = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return _without(own, hit, ["doc_id", "_hash"]).select(*docs.columns)
+    (name,) = unused(docs.columns, "hash")
+    hit = found.where("n_hit > 0").select("doc_id", F.col("text_hash").alias(name))
+    own = docs.withColumn(name, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return _without(own, hit, ["doc_id", name]).select(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
