@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .store import Store
+
 _EMPTY = "'{}' as resource, '{}' as scope"
 
 _LOGS = f"""select NS(ts) * 1000 as time_ns, cast(null as bigint) as observed_time_ns, event_type as service,
@@ -51,8 +53,23 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
         spark.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(n)
 
 
+_SERVED: dict[str, dict[str, DataFrame]] = {}
+
+
+def load(spark: SparkSession, sf_dir: str, path: str) -> Store:
+    """The telemetry tables of a folder, written to a store once; view takes them from there afterwards, its files listed once."""
+    store = Store(spark, path)
+    names = ("logs", "spans", "metrics_gauge", "metrics_sum", "metrics_histogram")
+    for name in names:
+        store.append(view(spark, sf_dir, name), name)
+    _SERVED[sf_dir] = {name: store.read(name) for name in names}
+    return store
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A telemetry table over the test tables of a folder; spans has ids as 8 and 16 bytes."""
+    if sf_dir in _SERVED:
+        return _SERVED[sf_dir][name]
     needed = ("customer", "orders", "lineitem") if name in ("spans", "span_rows") else ("events",)
     tables(spark, sf_dir, *needed)
     spark.sql("create or replace temporary function tracelake_us(t timestamp_ntz) returns bigint return unix_micros(cast(t as timestamp))")

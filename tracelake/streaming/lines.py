@@ -79,12 +79,15 @@ def reassemble(chunks: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     return whole.unionByName(dealt.mapInArrow(run, _LINE))
 
 
-def reassemble_stream(chunks: DataFrame, most_bytes: int = MOST_BYTES, idle: str = "1 minute") -> DataFrame:
-    """The same over a stream of chunks, whose last one is marked: the state of an id is its unfinished line.  An id
-    that is silent for `idle` gives what it has."""
+def reassemble_stream(chunks: DataFrame, most_bytes: int = MOST_BYTES, idle: str | None = None) -> DataFrame:
+    """The same over a stream of chunks, whose last one is marked: the state of an id is its unfinished line.
+
+    With idle, an id that is silent for that long gives what it has; give it to queries that run on, since a timeout
+    keeps asking for batches and a query over what is available now would not end.
+    """
     import pandas as pd
 
-    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
 
     def step(key, frames, state):
         held = Assembler(most_bytes)
@@ -101,12 +104,13 @@ def reassemble_stream(chunks: DataFrame, most_bytes: int = MOST_BYTES, idle: str
             state.remove()
         else:
             state.update((*held.head, b"".join(held.parts)))
-            state.setTimeoutDuration(wait)
+            if wait:
+                state.setTimeoutDuration(wait)
         yield pd.DataFrame([x for x in found if x], columns=["time_ns", "source", "line"])
 
     keyed = chunks.select("chunk_id", "ordinal", "time_ns", "source", "text", "last").where("chunk_id is not null").groupBy("chunk_id")
     whole = chunks.where("chunk_id is null").select("time_ns", "source", F.col("text").alias("line"))
-    return whole.unionByName(keyed.applyInPandasWithState(step, _LINE, "time_ns long, source string, raw binary", "append", "ProcessingTimeTimeout"))
+    return whole.unionByName(keyed.applyInPandasWithState(step, _LINE, "time_ns long, source string, raw binary", "append", "ProcessingTimeTimeout" if wait else "NoTimeout"))
 
 
 def follow(spark, path: str, after_observed_ns: int | None = None, where=None) -> DataFrame:
