@@ -90,6 +90,26 @@ def test_frequent_lines_deplete_documents(spark):
     assert got[300].kept and len(got) == len(table)
 
 
+def test_frequent_lines_are_cut_out_of_the_text(spark):
+    rng = random.Random(8)
+    menu, ad = prose(rng, 20), prose(rng, 25)
+    table = [(i, f"{menu}\n\n{prose(rng, 50)}\n {ad.upper()}\t\n{prose(rng, 9)} é\n{menu}", "ab"[i % 2]) for i in range(60)]
+    table += [(100, f"{menu}\n{ad}", "a"), (101, f"{menu}\n{ad}", None), (102, None, "a"), (103, "\n", "b"), (104, menu + "\n", "b")]
+    table += [(200 + i, f"{menu}\n{prose(rng, 60)}", None) for i in range(30)]
+    words = lambda line: tuple(re.findall(WORD, low(line)))
+    hosts = {h: {x or "" for _, x, s in table if s == h} for _, _, h in table}
+    held = {h: Counter(line for x in texts for line in {words(line) for line in x.split("\n")} - {()}) for h, texts in hosts.items()}
+    want = {}
+    for i, x, h in table:
+        gone = [line for line in (x or "").split("\n") if held[h][words(line)] > 20 and held[h][words(line)] > 0.02 * len(hosts[h])]
+        want[i] = "\n".join(line for line in (x or "").split("\n") if line not in gone), len({words(line) for line in gone}), sum(len(words(line)) for line in gone)
+    df = spark.createDataFrame(table, "doc_id long, text string, source string")
+    for options in ({}, {"most_lines": 0}):
+        got = {r.doc_id: (r.text, r.n_lines_removed, r.n_words_removed) for r in lines.line_frequency(df, **options).collect()}
+        assert got == want
+    assert want[100] == ("", 2, 45) and want[101] == (ad, 1, 20) and want[0][1:] == (2, 65) and want[0][0].startswith("\n")
+
+
 def test_jaccard_components(docs, rows):
     sets = {}
     for i, x, _ in rows:
