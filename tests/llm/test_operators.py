@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tracelake.llm import _text as t
-from tracelake.llm import alignment, chat, decontaminate, html, jaccard, lines, lm, mixing, quality, suffixes
+from tracelake.llm import alignment, bloom, chat, decontaminate, html, jaccard, lines, lm, mixing, quality, suffixes
 from tracelake.llm.components import components
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -246,6 +246,51 @@ def test_repeated_bytes_around_a_hot_passage(spark):
     assert sum(len(x) - len(want[i]) for i, x in texts) > 5000
 
 
+def test_repeated_bytes_beyond_the_filters(spark, docs):
+    want = sorted((r.doc_id, bytes(r.kept)) for r in suffixes.remove_repeated(docs).collect())
+    for options in ({"most_grams": 0}, {"most_ids": 0}, {"most_grams": 0, "most_ids": 0}):
+        assert sorted((r.doc_id, bytes(r.kept)) for r in suffixes.remove_repeated(docs, **options).collect()) == want
+
+
+def test_texts_that_lose_nothing_are_not_moved(spark):
+    rng = random.Random(31)
+    letters = string.ascii_letters + string.digits
+    own = lambda n: "".join(rng.choices(letters, k=n))
+    passage, copy = own(300), own(4000)
+    texts = [(i, own(4000) + ("#%!$"[i // 150] + passage if i % 150 == 0 else "")) for i in range(600)] + [(1000 + i, copy) for i in range(6)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4).localCheckpoint()
+
+    def shuffled() -> int:
+        store = spark.sparkContext._jsc.sc().statusStore()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before, bound = shuffled(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.doc_id: bytes(r.kept).decode() for r in suffixes.remove_repeated(df, most_ids=0).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    assert got == {i: "" if x == copy else x.replace(passage, "") for i, x in texts}
+    assert shuffled() - before < sum(len(x) for _, x in texts) / 2
+
+
+def test_filter_finds_what_was_put_in(spark):
+    rng = np.random.default_rng(4)
+    keys, others = rng.integers(-(1 << 63), 1 << 63, 9000), rng.integers(-(1 << 63), 1 << 63, 9000)
+    df = spark.createDataFrame([(int(k),) for k in keys], "key long")
+    for most_bits in (bloom.MOST_BITS, 1 << 10):
+        bits = bloom.built(df, len(keys), most_bits)
+        assert bloom.might(bits, keys.view(np.uint64)).all()
+    assert bloom.might(bloom.built(df, len(keys)), others.view(np.uint64)).mean() < 0.02
+    assert not bloom.might(bloom.built(df.limit(0), 0), others.view(np.uint64)).any()
+    batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.arange(len(keys)) == 7)], ["key", "sure"])
+    bits = bloom.built(df.where("key > 0"), len(keys))
+    found, clear = (next(bloom.rows(bits, "key", x)(iter([batch]))).column("key").to_pylist() for x in (True, False))
+    assert sorted(found + clear) == sorted(keys.tolist()) and all(k <= 0 for k in clear) and len(clear) > 4000
+    assert int(keys[7]) in next(bloom.rows(bits, "key", bool(keys[7] < 0), "sure")(iter([batch]))).column("key").to_pylist()
+
+
 def test_loser_tree_merges_with_known_prefixes():
     rng = random.Random(5)
     for k in (1, 2, 3, 7):

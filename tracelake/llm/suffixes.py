@@ -5,7 +5,10 @@ anywhere else in the corpus.  Sorting all suffixes would move the corpus many
 times, so suffixes are sampled by content: in every window of ``length`` bytes
 the first smallest hash of 8 bytes marks a suffix, and equal windows mark the
 same one.  A suffix whose first ``gram`` bytes occur once in the corpus (they
-are counted by hash first) cannot lie in a repeated window and is dropped.
+are counted by hash first) cannot lie in a repeated window and is dropped.  The
+grams that occur again go to the texts as a Bloom filter; what it lets on
+besides is sorted with the others and meets no equal.  More than ``most_grams``
+of them would overfill it; then the suffixes' places are joined to the texts.
 
 The others are sorted by a common-prefix-aware merge sort: each task sorts its
 suffixes, computes their common prefixes and sends, for each key range, a run
@@ -19,7 +22,9 @@ repeats can reach.  Only windows inside that bound are compared, by hash, with
 those of their group.  The windows of one suffix that repeat overlap, so they
 give one span.
 
-Documents with equal text are read once: all of their bytes repeat.  Ranges
+Documents with equal text are read once: all of their bytes repeat.  Texts are
+moved only where a filter finds that they may lose bytes, or may be copies
+that are too many to send to all executors.  Ranges
 are cut by a bounded sample of suffixes; a run is flushed at ``run_entries``
 entries.  A group's different contexts are held by one task, packed, at some 400
 bytes each; its windows are hashed in pieces and compared in passes by hash
@@ -42,6 +47,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as t
+from . import bloom
 from ._store import few, stored
 
 
@@ -70,6 +76,36 @@ def anchors(x: t.Texts, length: int, gram: int) -> np.ndarray:
     return np.unique((h[starts] & low).astype(np.int64))
 
 
+def _grams(length: int, gram: int):
+    """How often the gram of a suffix occurs in a slice, by its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, x in t.slices(batch.column("text"), t.SMALL):
+                at = anchors(x, length, gram)
+                key, times = np.unique(t.span_hash(t.prefix_hash(x.data), at, at + gram), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(t.as_long(key)), pa.array(times.astype(np.int64))], ["key", "times"])
+
+    return run
+
+
+def _placed(length: int, gram: int, grams: np.ndarray):
+    """The texts with the places of their suffixes whose gram is in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, x in t.slices(batch.column("text"), t.SMALL):
+                at = anchors(x, length, gram)
+                at = at[bloom.might(grams, t.span_hash(t.prefix_hash(x.data), at, at + gram))]
+                doc = np.searchsorted(x.offsets, at, side="right") - 1
+                many = np.bincount(doc, minlength=x.n)
+                own = np.flatnonzero(many)
+                places = t.list_column((at - x.offsets[doc]).astype(np.int32), np.append(0, np.cumsum(many[own])), pa.int32())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a).take(pa.array(own)) for c in ("ref", "text")), places], ["ref", "text", "places"])
+
+    return run
+
+
 def _marked(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -408,7 +444,19 @@ def _joined(spans: str) -> Column:
     return F.when(F.size(spans) == 0, F.array().cast(kind)).otherwise(folded)
 
 
-def remove_repeated(docs: DataFrame, length: int = 200, gram: int = 48, run_entries: int = 30_000, range_entries: int = 40_000, sampled_heads: int = 50_000, most_windows: int = 4_000_000, most_ids: int = 200_000) -> DataFrame:
+def _without(long_: DataFrame, extra: DataFrame, most_ids: int):
+    """The rows of long_, and the step on batches that leaves of them those not in extra; where extra is not few, only rows that may be in it are moved."""
+    if (n := extra.count()) <= most_ids:
+        return long_.join(F.broadcast(extra), ["doc_id", "ref"], "left_anti").select("ref", "text"), iter
+    row = F.xxhash64("doc_id", "ref").alias("row")
+    known = bloom.built(extra.select(row), n)
+    all_ = long_.select("doc_id", "ref", "text", row)
+    moved = all_.mapInArrow(bloom.rows(known, "row", True), all_.schema).join(extra, ["doc_id", "ref"], "left_anti")
+    rows = all_.select("ref", "text", "row", F.lit(False).alias("sure")).unionByName(moved.select("ref", "text", "row", F.lit(True).alias("sure")))
+    return rows, bloom.rows(known, "row", False, "sure")
+
+
+def remove_repeated(docs: DataFrame, length: int = 200, gram: int = 48, run_entries: int = 30_000, range_entries: int = 40_000, sampled_heads: int = 50_000, most_windows: int = 4_000_000, most_ids: int = 200_000, most_grams: int = bloom.MOST_BITS // 6) -> DataFrame:
     """doc_id, n_bytes, removed (maximal spans) and kept (the remaining bytes) of each document."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("ref", F.xxhash64(F.sha2("text", 256)))
@@ -416,27 +464,38 @@ def remove_repeated(docs: DataFrame, length: int = 200, gram: int = 48, run_entr
     classes = long_.groupBy(F.col("ref").alias("c_ref")).agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
     copies = stored(classes.where("rows > 1").select("c_ref", "first"))
     extra = stored(long_.select("doc_id", "ref").join(few(copies, most_ids), F.col("ref") == F.col("c_ref")).where("doc_id <> first").select("doc_id", "ref").distinct())
-    nodes = long_.join(few(extra, most_ids), ["doc_id", "ref"], "left_anti").select("ref", "text")
+    nodes, only = _without(long_, extra, most_ids)
     # suffixes whose gram occurs again
-    marked = nodes.mapInArrow(_marked(length, gram), "ref long, place int, key long, times int")
-    again = marked.withColumn("n", F.sum("times").over(Window.partitionBy("key"))).where("n > 1 and ref is not null")
-    places = stored(again.groupBy("ref").agg(F.array_sort(F.collect_set("place")).alias("places")))
-    total = places.agg(F.sum(F.size("places"))).first()[0] or 0
-    held = stored(nodes.join(few(places.select("ref"), most_ids), "ref", "left_semi").join(places, "ref"))
+    count, mark = _grams(length, gram), _marked(length, gram)
+    repeated = stored(nodes.mapInArrow(lambda batches: count(only(batches)), "key long, times long").groupBy("key").agg(F.sum("times").alias("n")).where("n > 1"))
+    grams, total = repeated.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if grams <= most_grams:
+        place = _placed(length, gram, bloom.built(repeated.select("key"), grams))
+        placed, held = lambda batches: place(only(batches)), nodes
+    else:
+        marked = nodes.mapInArrow(lambda batches: mark(only(batches)), "ref long, place int, key long, times int")
+        again = marked.withColumn("n", F.sum("times").over(Window.partitionBy("key"))).where("n > 1 and ref is not null")
+        places = stored(again.groupBy("ref").agg(F.array_sort(F.collect_set("place")).alias("places")))
+        left = nodes.mapInArrow(lambda batches: only(batches), nodes.schema).select("ref", "text")
+        placed, held = iter, stored(left.join(few(places.select("ref"), most_ids), "ref", "left_semi").join(places, "ref"))
     # sorted runs by key range, merged
     rate = min(1.0, sampled_heads / max(total, 1))
     some = held.where(F.pmod(F.xxhash64("ref"), F.lit(1_000_000)) < max(1, int(rate * 1_000_000)))
-    heads = sorted(r["head"] for r in some.mapInArrow(_heads(length, gram), "head binary").collect())  # about sampled_heads short strings
+    head = _heads(length, gram)
+    heads = sorted(r["head"] for r in some.mapInArrow(lambda batches: head(placed(batches)), "head binary").collect())  # about sampled_heads short strings
     ranges = max(1, -(-total // range_entries))
     splitters = sorted({bytes(heads[i * len(heads) // ranges]) for i in range(1, ranges)}) if heads else []
-    runs = held.mapInArrow(_runs(length, gram, splitters, run_entries), "range int, run binary")
+    sort = _runs(length, gram, splitters, run_entries)
+    runs = held.mapInArrow(lambda batches: sort(placed(batches)), "range int, run binary")
     spans = runs.groupBy("range").applyInArrow(_merged(length, gram, most_windows=most_windows), "ref long, start int, end int")
     found = spans.groupBy("ref").agg(F.collect_set(F.struct("start", "end")).alias("spans")).select("ref", "spans", F.lit(False).alias("whole"))
     none = F.array().cast("array<struct<start:int,end:int>>")
     info = found.unionByName(copies.select(F.col("c_ref").alias("ref"), none.alias("spans"), F.lit(True).alias("whole")))
     info = info.groupBy("ref").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.max("whole").alias("whole"))
     info = stored(info.select("ref", _joined("spans").alias("spans"), "whole"))
-    size = info.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
-    info = F.broadcast(info) if size[0] + size[1] <= most_ids else info
-    joined = texts.join(info, "ref", "left").select("doc_id", "text", "spans", "whole")
-    return joined.mapInArrow(_removed(length), "doc_id long, n_bytes long, removed array<struct<start:int,end:int>>, kept binary")
+    # texts that lose nothing stay where they are
+    losing, cut, kind = bloom.built(info.select("ref"), info.count()), _removed(length), "doc_id long, n_bytes long, removed array<struct<start:int,end:int>>, kept binary"
+    clear = bloom.rows(losing, "ref", False)
+    whole = texts.select("doc_id", "ref", "text", none.alias("spans"), F.lit(False).alias("whole")).mapInArrow(lambda batches: cut(clear(batches)), kind)
+    moved = texts.mapInArrow(bloom.rows(losing, "ref", True), texts.schema).join(info, "ref", "left").select("doc_id", "text", "spans", "whole")
+    return whole.unionByName(moved.mapInArrow(cut, kind))
