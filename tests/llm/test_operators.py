@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import string
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -742,6 +743,25 @@ def test_context_vectors_by_plain_python(spark):
     assert np.allclose(got, want, atol=1e-6)
 
 
+def test_quality_holds_its_tables_about_once_on_the_driver(spark):
+    def peak(work):
+        tracemalloc.start()
+        try:
+            return work(), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    random_ = np.random.default_rng(2)
+    x = random_.normal(3, 2, (8000, quality.N_FEATURES)).astype(np.float32)
+    y = (x[:, 0] > 3).astype(float)
+    network, most = peak(lambda: quality.Network(epochs=2).fit(x, y))
+    assert most < x.nbytes
+    assert np.allclose(network.mean, x.astype(np.float64).mean(0)) and np.allclose(network.scale, x.astype(np.float64).std(0), atol=1e-5)
+    assert np.mean((network.score(x) >= 0.5) == (y == 1)) > 0.9
+    vectors, most = peak(lambda: quality.word_vectors(spark.createDataFrame([(1, "a b a")], "doc_id long, text string")))
+    assert vectors.dtype == np.float32 and most < 2.5 * vectors.nbytes
+
+
 PAGE = "<!DOCTYPE html><html><head><title>T</title><script>var t='</p>'</script></head><body class='nav-open'><div class='menu'><ul><li>Home<li>About</ul></div>{body}<div id='box'>Same on all pages</div><footer>foot</footer></body></html>"
 
 

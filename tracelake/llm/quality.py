@@ -90,25 +90,34 @@ def _context_sums(seed: int):
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of each row range as vectors of length 1, and how often each word was seen."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for first, sums in zip(batch.column("first").to_pylist(), batch.column("sums").to_pylist(), strict=True):
             x = np.frombuffer(sums, np.int32).astype(np.int64)
             total[first] = total[first] + x if first in total else x
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["first", "sums"])
+    units, seen = [], []
+    for x in total.values():
+        both = x.reshape(ROWS, DIM + 1)
+        length = np.linalg.norm(both[:, :DIM], axis=1, keepdims=True)
+        units.append((both[:, :DIM] / np.maximum(length, 1)).astype(np.float32).tobytes())
+        seen.append(both[:, DIM].tobytes())
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(units, pa.binary()), pa.array(seen, pa.binary())], ["first", "units", "seen"])
 
 
 def word_vectors(docs: DataFrame, seed: int = 11) -> np.ndarray:
     """Normalised context vectors by bucket, weighted less for frequent words."""
     sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_context_sums(seed), "first long, sums binary")
-    rows = sums.repartition(BUCKETS // ROWS, "first").mapInArrow(_add, "first long, sums binary").collect()  # BUCKETS / ROWS rows of fixed size
-    both = np.zeros((BUCKETS, DIM + 1))
-    for r in rows:
-        both[r["first"] : r["first"] + ROWS] = np.frombuffer(r["sums"], np.int64).reshape(ROWS, DIM + 1)
-    total, seen = both[:, :DIM], both[:, DIM]
-    length = np.linalg.norm(total, axis=1, keepdims=True)
+    rows = sums.repartition(BUCKETS // ROWS, "first").mapInArrow(_add, "first long, units binary, seen binary").toArrow()  # BUCKETS / ROWS rows of fixed size
+    out, seen = np.zeros((BUCKETS, DIM), np.float32), np.zeros(BUCKETS)
+    for batch in rows.to_batches():
+        for first, units, n in zip(*(batch.column(c) for c in ("first", "units", "seen")), strict=True):
+            at = slice(first.as_py(), first.as_py() + ROWS)
+            out[at] = np.frombuffer(units.as_buffer(), np.float32).reshape(ROWS, DIM)
+            seen[at] = np.frombuffer(n.as_buffer(), np.int64)
     share = seen / max(seen.sum(), 1)
-    return (total / np.maximum(length, 1) * (1e-3 / (1e-3 + share))[:, None]).astype(np.float32)
+    out *= (1e-3 / (1e-3 + share)).astype(np.float32)[:, None]
+    return out
 
 
 N_FEATURES = 3 * DIM
@@ -145,7 +154,10 @@ def features(x: t.Texts, vectors: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """Two layers with standardised inputs and a temperature; fitted by Adam on full-precision numpy."""
+    """Two layers with standardised inputs and a temperature; fitted by Adam on full-precision numpy.
+
+    Inputs may be of single precision; they are widened and standardised a few rows at a time, so the driver holds them once.
+    """
 
     def __init__(self, hidden: int = 32, epochs: int = 40, seed: int = 5):
         self.hidden, self.epochs, self.seed = hidden, epochs, seed
@@ -157,37 +169,42 @@ class Network:
             self.constant = float((y.sum() + 1) / (len(y) + 2))
             return self
         random = np.random.default_rng(self.seed)
-        x, y = x.astype(np.float64), y.astype(np.float64)
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
-        x = self._norm(x)
+        y = y.astype(np.float64)
+        self.mean = x.mean(0, dtype=np.float64)
+        squares = sum(((x[i : i + 1024] - self.mean) ** 2).sum(0) for i in range(0, len(x), 1024))
+        self.scale = np.sqrt(squares / len(x)) + 1e-6
         order = random.permutation(len(y))
         part = max(1, len(y) // 8)
         hold, calibrate, own = order[:part], order[part : 2 * part], order[2 * part :]  # for the epoch, for the temperature, for the weights
+        held, held_y = self._norm(x[hold]), y[hold]
         p = [random.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], self.hidden)), np.zeros(self.hidden), random.normal(0, 1 / np.sqrt(self.hidden), self.hidden), np.zeros(1)]
         m, v, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
         best, kept = np.inf, p
         for epoch in range(self.epochs):
             rate = 3e-3 * (1 - epoch / self.epochs)
             for at in np.array_split(random.permutation(own), max(1, len(own) // 128)):
-                a = np.tanh(x[at] @ p[0] + p[1])
+                part_x = self._norm(x[at])
+                a = np.tanh(part_x @ p[0] + p[1])
                 d = (self._sigmoid(a @ p[2] + p[3]) - y[at]) / len(at)
                 back = np.outer(d, p[2]) * (1 - a * a)
-                grad = [x[at].T @ back + 1e-4 * p[0], back.sum(0), a.T @ d + 1e-4 * p[2], d.sum(keepdims=True)]
+                grad = [part_x.T @ back + 1e-4 * p[0], back.sum(0), a.T @ d + 1e-4 * p[2], d.sum(keepdims=True)]
                 step += 1
                 for i, g in enumerate(grad):
                     m[i] = 0.9 * m[i] + 0.1 * g
                     v[i] = 0.999 * v[i] + 0.001 * g * g
                     p[i] = p[i] - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-            loss = self._loss(np.tanh(x[hold] @ p[0] + p[1]) @ p[2] + p[3], y[hold])
+            loss = self._loss(np.tanh(held @ p[0] + p[1]) @ p[2] + p[3], held_y)
             if loss < best:
                 best, kept = loss, [a.copy() for a in p]
         self.p = kept
-        logits = self._logit(x[calibrate])
+        logits = self._logit(self._norm(x[calibrate]))
         self.temperature = min(np.exp(np.linspace(-2, 2, 161)), key=lambda z: self._loss(logits / z, y[calibrate]))
         return self
 
     def _norm(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -8, 8)
+        x = x - self.mean
+        x /= self.scale
+        return np.clip(x, -8, 8, out=x)
 
     @staticmethod
     def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -203,7 +220,7 @@ class Network:
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(x), self.constant)
-        return self._sigmoid(self._logit(self._norm(x.astype(np.float64))) / self.temperature)
+        return self._sigmoid(self._logit(self._norm(x)) / self.temperature)
 
 
 def _featured(shared):
@@ -217,9 +234,9 @@ def _featured(shared):
     return run
 
 
-def _scored(shared):
+def _scored(shared, network: Network):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, network = shared.value
+        vectors = shared.value
         for batch in batches:
             for a, b, x in t.slices(batch.column("text"), t.SMALL):
                 rest = [batch.column(c).slice(a, b - a) for c in batch.schema.names]
@@ -228,6 +245,14 @@ def _scored(shared):
     return run
 
 
+def _matrix(known: pa.Table) -> np.ndarray:
+    """The column f as a matrix, copied row by row."""
+    out = np.empty((len(known), N_FEATURES), np.float32)
+    for i, f in enumerate(known.column("f")):
+        out[i] = np.frombuffer(f.as_buffer(), np.float32)
+    return out
+
+
 def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
@@ -236,18 +261,18 @@ def classify(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000) ->
     """docs with the column score (replaced if there): the probability that a document is good."""
     spark = docs.sparkSession
     docs = docs.drop("score")
-    vectors = word_vectors(docs)
+    shared = spark.sparkContext.broadcast(word_vectors(docs))
     wanted = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("quality").alias("y"))
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id")
     # one text for each labelled document, however many rows repeat it
     least = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y")).alias("x")
     sample = sample.groupBy("doc_id").agg(least).select("x.text", "x.y")
-    known = sample.mapInArrow(_featured(spark.sparkContext.broadcast(vectors)), "y double, f binary").toArrow()
-    y = known.column("y").to_numpy()
-    f = np.frombuffer(b"".join(known.column("f").to_pylist()), np.float32).reshape(len(y), N_FEATURES)
+    known = sample.mapInArrow(_featured(shared), "y double, f binary").toArrow()
+    y, f = np.array(known.column("y").to_numpy()), _matrix(known)
+    del known
     order = np.lexsort((y, *f.T[:4]))  # whatever order the rows came in
-    network = Network().fit(f[order], (y[order] >= 0.5).astype(float)) if len(y) else Network().fit(np.zeros((0, N_FEATURES)), np.zeros(0))
-    shared = spark.sparkContext.broadcast((vectors, network))
+    f = f[order]
+    network = Network().fit(f, (y[order] >= 0.5).astype(float))
     kinds = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)
-    return docs.mapInArrow(_scored(shared), f"{kinds}, score double")
+    return docs.mapInArrow(_scored(shared, network), f"{kinds}, score double")
