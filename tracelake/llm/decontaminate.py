@@ -1,9 +1,10 @@
 """Benchmark decontamination by winnowing (operator 3).
 
-DataFrame functions only.  Every document's k-word grams are hashed; from each
-run of ``n - k + 1`` consecutive grams the smallest hash is kept as a
-fingerprint with its place, so every span of n words has one that depends on
-the span's words alone.  Each n-word window of a benchmark item is indexed
+DataFrame functions only.  From each run of ``n - k + 1`` consecutive k-word
+grams of a document, the one whose first word has the smallest hash, the
+leftmost of equals, is kept as a fingerprint with its place, so every span of
+n words has one that depends on the span's words alone, and only the grams
+kept are hashed whole.  Each n-word window of a benchmark item is indexed
 under its own fingerprint.  Documents' fingerprints are joined with the index,
 and each hit is extended to the full window and compared word for word, so the
 result is exact: all windows are found, and none that only share a hash.
@@ -11,9 +12,11 @@ result is exact: all windows are found, and none that only share a hash.
 Items of fewer than n words are one window each.  They are looked up under
 their first word, at every place of a document that has one of those words.
 
-Only rows that hit are kept; the documents' texts meet the hits once, by
-doc_id and text hash.  The index is broadcast when the benchmark, counted
-beforehand, has at most ``broadcast_windows`` windows, else joined by shuffle.
+One pass over all texts counts the words and leaves the rows that hit; only
+texts with a hit are then read again, by doc_id and text hash, where those are
+counted beforehand: at most ``broadcast_texts`` are broadcast, more are joined
+by shuffle.  The index is broadcast when the benchmark, counted beforehand, has
+at most ``broadcast_windows`` windows, else joined by shuffle.
 
 Defined cases: null or empty text has no words and is clean; an empty or null
 item has no window; a null item_id is not listed; equal rows get equal
@@ -28,14 +31,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import stored
+from ._store import few, stored
 
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER), _BETWEEN), "")
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    plain = F.octet_length(text) == F.char_length(text)  # ASCII: lower() changes A-Z alone, and costs less
+    return F.array_remove(F.split(F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER)), _BETWEEN), "")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -48,19 +53,22 @@ def _upto(last: Column) -> Column:
     return F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
 
 
-def _grams(w: Column, k: int) -> Column:
-    return F.transform(_upto(F.size(w) - (k - 1)), lambda i: F.xxhash64(F.slice(w, i, k)))
+def _less(values: Column, many: int) -> Column:
+    """values without the last many."""
+    return F.slice(values, 1, F.greatest(F.size(values) - many, F.lit(0)))
 
 
 def fingerprints(w: Column, n: int, k: int) -> Column:
-    """array<struct<p,h>>: the leftmost smallest gram of each run of n-k+1, once each."""
+    """array<struct<p,h>>: of each run of n-k+1 grams the leftmost with the smallest hash of its first word, once each."""
     run = n - k + 1
+    ranks = F.transform(_less(w, k - 1), lambda x, i: F.shiftleft(F.hash(x).cast("long"), 32) + i)  # the place breaks ties
 
-    def pick(h: Column) -> Column:
-        at = F.transform(_upto(F.size(h) - (run - 1)), lambda j: let(F.slice(h, j, run), lambda s: j - 1 + F.array_position(s, F.array_min(s)).cast("int")))
-        return F.transform(F.array_distinct(at), lambda p: F.struct(p.alias("p"), F.element_at(h, p).alias("h")))
+    def pick(r: Column) -> Column:
+        least = F.transform(_less(r, run - 1), lambda x, i: F.least(x, *[F.get(r, i + j) for j in range(1, run)])) if run > 1 else r
+        at = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+        return F.transform(F.array_distinct(least), lambda x: F.struct((at(x) + 1).alias("p"), F.xxhash64(*[F.get(w, at(x) + j) for j in range(k)]).alias("h")))
 
-    return let(_grams(w, k), pick)
+    return let(ranks, pick)
 
 
 def benchmark_windows(bench: DataFrame, n: int) -> DataFrame:
@@ -70,33 +78,42 @@ def benchmark_windows(bench: DataFrame, n: int) -> DataFrame:
     return w.select("item_id", F.explode(F.transform(starts, lambda s: F.slice(F.col("w"), s, n))).alias("window")).select("item_id", F.size("window").alias("len"), "window").distinct()
 
 
-def contamination(docs: DataFrame, bench: DataFrame, n: int = 10, k: int = 5, broadcast_windows: int = 200_000) -> DataFrame:
+def contamination(docs: DataFrame, bench: DataFrame, n: int = 10, k: int = 5, broadcast_windows: int = 200_000, broadcast_texts: int = 200_000) -> DataFrame:
     """doc_id, text_hash, n_words, n_hit, n_items, items (sorted as strings) of every document."""
     windows = stored(benchmark_windows(bench, n))
     lengths = {r["len"]: r["many"] for r in windows.groupBy("len").agg(F.count("*").alias("many")).collect()}  # n rows at most
     hint = F.broadcast if sum(lengths.values()) <= broadcast_windows else (lambda x: x)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    found = []
-    if n in lengths:
-        index = windows.where(F.col("len") == n).select(F.explode(fingerprints(F.col("window"), n, k)).alias("f")).select(F.col("f.h").alias("i_h"), (F.col("f.p") - 1).alias("offset")).distinct()
-        own = source.select("doc_id", "text_hash", F.explode(let(words(F.col("text")), lambda w: fingerprints(w, n, k))).alias("f"))
-        hits = own.join(hint(index), F.col("f.h") == F.col("i_h"))
-        found.append(hits.select("doc_id", "text_hash", F.struct((F.col("f.p") - F.col("offset")).alias("s"), F.lit(n).alias("len")).alias("at")).where("at.s >= 1"))
-    if any(x < n for x in lengths):
-        heads = windows.where(F.col("len") < n).groupBy(F.element_at("window", 1).alias("head")).agg(F.collect_set("len").alias("lens"))
-        own = source.select("doc_id", "text_hash", F.posexplode(words(F.col("text"))).alias("p", "word"))
-        hits = own.join(hint(heads), F.col("word") == F.col("head")).select("doc_id", "text_hash", "p", F.explode("lens").alias("len"))
-        found.append(hits.select("doc_id", "text_hash", F.struct((F.col("p") + 1).alias("s"), "len").alias("at")))
-    count = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
     none = F.array().cast("array<string>")
-    if not found:
-        return source.select("doc_id", "text_hash", count.alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items"))
-    candidates = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-    candidates = candidates.groupBy(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash")).agg(F.collect_set("at").alias("ats"))
-    joined = source.join(candidates, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_hash") == F.col("c_hash")), "left")
+    if not lengths:
+        zero = F.lit(0).cast("long")
+        return source.select("doc_id", "text_hash", F.size(words(F.col("text"))).cast("long").alias("n_words"), zero.alias("n_hit"), zero.alias("n_items"), none.alias("items"))
+    full = windows.where(F.col("len") == n).select(F.explode(fingerprints(F.col("window"), n, k)).alias("f"))
+    full = full.select(F.col("f.h").alias("i_h"), (F.col("f.p") - 1).alias("offset"), F.lit(n).alias("len"))
+    heads = windows.where(F.col("len") < n).select(F.xxhash64(F.element_at("window", 1)).alias("i_h"), F.lit(0).alias("offset"), "len")
+    index = full.unionByName(heads).distinct()
+
+    def places(w: Column) -> Column:
+        """array<struct<p,h>>: first minus the number of words, under a hash that spreads the rows; then what is looked up."""
+        out = [F.array(F.struct((-F.size(w)).alias("p"), F.xxhash64("doc_id", "text_hash").alias("h")))]
+        if n in lengths:
+            out.append(fingerprints(w, n, k))
+        if any(x < n for x in lengths):
+            out.append(F.transform(w, lambda x, i: F.struct((i + 1).alias("p"), F.xxhash64(x).alias("h"))))
+        return F.concat(*out)
+
+    own = source.select("doc_id", "text_hash", let(words(F.col("text")), places).alias("places"))  # outer: no filter is inferred that computes them again
+    own = own.select("doc_id", "text_hash", F.explode_outer("places").alias("f")).select("doc_id", "text_hash", "f.p", "f.h")
+    seen = own.join(hint(index), (F.col("p") > 0) & (F.col("h") == F.col("i_h")), "left").select("doc_id", "text_hash", "p", (F.col("p") - F.col("offset")).alias("s"), "len")
+    seen = stored(seen.where("p <= 0 or s >= 1"))
+    stats = seen.where("p <= 0").select("doc_id", "text_hash", (-F.col("p")).cast("long").alias("n_words"))
+    candidates = seen.where("p > 0").groupBy(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash")).agg(F.collect_set(F.struct("s", "len")).alias("ats"))
+    candidates = stored(candidates)
+    same = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_hash") == F.col("c_hash"))
+    texts = source.join(few(candidates.select("c_id", "c_hash"), broadcast_texts), same, "left_semi").join(candidates, same)
     at = let(words(F.col("text")), lambda w: F.transform("ats", lambda a: F.struct(a["s"].alias("s"), a["len"].alias("len"), F.slice(w, a["s"], a["len"]).alias("words"))))
-    stats = stored(joined.select("doc_id", "text_hash", count.alias("n_words"), F.when(F.col("ats").isNotNull(), at).alias("spans")))
-    spans = stats.where("spans is not null").select("doc_id", "text_hash", F.explode("spans").alias("x"))
+    spans = texts.select("doc_id", "text_hash", F.explode(at).alias("x"))
+    spans = spans.where(F.size("x.words") == F.col("x.len"))  # a span that ends with its text is no short item
     exact = spans.join(hint(windows.select("item_id", "window")), F.col("x.words") == F.col("window"))
 
     def cover(state: Column, x: Column) -> Column:
@@ -109,6 +126,6 @@ def contamination(docs: DataFrame, bench: DataFrame, n: int = 10, k: int = 5, br
         F.sort_array(F.collect_set(F.struct("x.s", "x.len"))).alias("covers"), F.sort_array(F.collect_set("item_id")).alias("items")
     )
     hit = hit.select("h_id", "h_hash", F.aggregate("covers", start, cover)["n"].alias("n_hit"), "items")
-    out = stats.drop("spans").join(hit, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_hash") == F.col("h_hash")), "left")
+    out = stats.join(hit, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_hash") == F.col("h_hash")), "left")
     items = F.coalesce("items", none)
     return out.select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"))
