@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import random
 import re
@@ -187,6 +188,24 @@ def test_jaccard_near_copies_of_every_degree(spark, options):
     assert 20 < len({c for *_, c in want}) < 120
 
 
+def test_workers_give_memory_back_after_the_jaccard_join(spark):
+    def held(batches):
+        def now():
+            with open("/proc/self/smaps_rollup") as f:
+                return sum(int(line.split()[1]) for line in f if line.startswith("Pss_Anon:"))
+
+        before = now()
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+        yield from (pa.RecordBatch.from_arrays([pa.array([(before - now()) / 1024])], ["mb"]) for _ in batches)
+
+    docs = spark.range(0, 12000, 1, 4).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 400), x -> hex(xxhash64(id, x))), ' ') AS text")
+    found = jaccard.similar_components(docs).collect()
+    assert len(found) == 12000 and all(r["n_shingles"] == 397 and r["component_id"] == r["doc_id"] for r in found)
+    idle = [r["mb"] for r in spark.range(0, 4, 1, 4).mapInArrow(held, "mb double").collect()]
+    assert len(idle) == 4 and max(idle) < 8, idle
+
+
 def test_links_inside_a_cell_join_what_all_pairs_join():
     rng = np.random.default_rng(3)
     for _ in range(60):
