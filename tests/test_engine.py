@@ -6,6 +6,7 @@ import glob
 import json
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -15,6 +16,7 @@ from tracelake import functions as fn
 from tracelake import queries as engine
 from tracelake.api import Engine
 from tracelake.operators import ExpHistogramQuery, HistogramQuery, LogQuery, MetricQuery, SpanMetricsQuery, TraceQuery
+from tracelake.operators.joins import interval_counts
 from tracelake.operators.traces import ancestors
 from tracelake.plans import Diagnostic, EvalRange, LimitExceeded, logql, promql, traceql
 from tracelake.plans import logql as _logql_function
@@ -429,3 +431,18 @@ def test_oracle(spark, name):
     for f in glob.glob(f"{DATA}/*.parquet"):
         con.sql(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
     assert _rows(engine.queries()[name](spark, DATA).toArrow()) == _rows(con.sql(engine.oracle_sql()[name]).to_arrow_table())
+
+
+def test_interval_counts_pair_nothing(spark):
+    rng = random.Random(5)
+    points = [(rng.choice([None, rng.randrange(-9_000, 9_000), 7]),) for _ in range(400)]
+    intervals = [(rng.randrange(60), a, a + rng.randrange(-5, 4_000)) for a in (rng.randrange(-9_000, 9_000) for _ in range(200))] + [(None, 7, 8), (99, 20_000, 30_000), (98, None, 8)]
+    p, i = spark.createDataFrame(points, "at long"), spark.createDataFrame(intervals, "id long, start long, end long")
+    want = {}
+    for k, a, b in intervals:
+        if n := sum(a is not None and t is not None and a <= t < b for (t,) in points):
+            want[k] = want.get(k, 0) + n
+    for width in (1, 3_000, 5_000_000):
+        assert dict(interval_counts(p, i, "at", "start", "end", ["id"], width).collect()) == want
+    plan = engine.queries()["join_interval"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # it paired every error with the purchases of ten hours
