@@ -9,6 +9,7 @@ import os
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,11 +19,14 @@ from tracelake.api import Engine
 from tracelake.operators import ExpHistogramQuery, HistogramQuery, LogQuery, MetricQuery, SpanMetricsQuery, TraceQuery
 from tracelake.operators.joins import interval_counts
 from tracelake.operators.traces import ancestors
+from tracelake.operators.whole_traces import whole
 from tracelake.plans import Diagnostic, EvalRange, LimitExceeded, logql, promql, traceql
 from tracelake.plans import logql as _logql_function
 from tracelake.plans import traceql as _traceql_function
-from tracelake.sources import schema
+from tracelake.sources import schema, shared
+from tracelake.sources.adapters import view
 from tracelake.sources.otlp import decode, normalize
+from tracelake.sources.shared import spread
 from tracelake.sources.store import Store
 from tracelake.streaming import reassemble, reassemble_stream, remap, render_logfmt, tail, tumbling_volume
 from tracelake.streaming.lines import structured
@@ -446,3 +450,123 @@ def test_interval_counts_pair_nothing(spark):
         assert dict(interval_counts(p, i, "at", "start", "end", ["id"], width).collect()) == want
     plan = engine.queries()["join_interval"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan  # it paired every error with the purchases of ten hours
+
+
+def _random_spans(rng):
+    """Traces with missing parents, ids that occur twice, null ids and one large trace; no cycles: parents have lower ids."""
+    to = lambda x, n: None if x is None else x.to_bytes(n, "big")
+    rows = []
+    for trace in range(30):
+        for span in range(1, rng.choice([2, 6, 300 if trace == 7 else 12])):
+            for _ in range(rng.choice([1, 1, 1, 2])):
+                parent = rng.choice([None, 0, rng.randrange(1, span + 1) - 1, max(1, span - 1) if span > 1 else None])
+                rows.append((trace, span, parent, rng.choice("abc"), rng.randrange(1000)))
+    return rows, [(to(t, 16), to(s, 8), to(p, 8), n, "SERVER", at, 1, "OK", "svc", "{}") for t, s, p, n, at in rows] + [(None, to(1, 8), None, "a", "SERVER", 5, 1, "OK", "svc", "{}"), (to(3, 16), None, to(1, 8), "b", "SERVER", 5, 1, "OK", "svc", "{}")]
+
+
+_SPANS_DDL = "trace_id binary, span_id binary, parent_span_id binary, name string, kind string, start_time_ns long, duration_ns long, status_code string, service string, attributes string"
+
+
+def _above(rows):
+    parents = {}
+    for t, s, p, *_ in rows:
+        parents.setdefault((t, s), set()).add((t, p))
+    out = {}
+    for k in sorted(parents):  # parents have lower ids
+        out[k] = {x for p in parents[k] if p in parents for x in {p} | out[p]}
+    return parents, out
+
+
+def _spanset_by_hand(query, rows, parents, above):
+    if isinstance(query, str):
+        return {(t, s) for t, s, _, n, _ in rows if n == query}
+    if query[0] == "count":
+        inner = _spanset_by_hand(query[1], rows, parents, above)
+        n = {}
+        for t, s, _, name, _ in rows:
+            n.setdefault(t, []).append((t, s)) if name == query[1] else None
+        return {x for x in inner if len(n[x[0]]) >= query[2]}
+    op, a, b = query
+    left, right = _spanset_by_hand(a, rows, parents, above), _spanset_by_hand(b, rows, parents, above)
+    if op == "||":
+        return left | right
+    if op == "&&":
+        return {x for x in left | right if x[0] in {t for t, _ in left} & {t for t, _ in right}}
+    bare = op.lstrip("&!")
+    hit = {
+        ">": lambda x: parents[x] & left, "<": lambda x: any(x in parents[y] for y in left), ">>": lambda x: above[x] & left, "<<": lambda x: any(x in above[y] for y in left),
+        "~": lambda x: any(y != x and y[0] == x[0] and {p for p in parents[y] & parents[x] if p[1] is not None} for y in left),
+    }[bare]
+    matched = {x for x in right if bool(hit(x)) != ("!" in op)}
+    return left | matched if "&" in op else matched
+
+
+def test_traceql_equals_sets_by_hand(spark):
+    rng = random.Random(11)
+    rows, data = _random_spans(rng)
+    spans = schema.coerce(spark.createDataFrame(data, _SPANS_DDL), "spans").repartition(5)
+    parents, above = _above(rows)
+    text = lambda q: f'{{ name = "{q}" }}' if isinstance(q, str) else f"({text(q[1])}) {q[0]} ({text(q[2])})"
+    queries = [(op, "a", "b") for op in ("||", "&&", ">", ">>", "<", "<<", "~", "!>", "!>>", "!<", "!<<", "!~", "&>", "&>>", "&<", "&<<", "&~", "&!>", "&!>>", "&!~")] + [("&&", ("||", "a", "b"), ("!>>", "c", "a")), ("<<", ("&>", "a", "b"), ("||", "c", "b")), ("~", ("&&", "a", "c"), "a")]
+    for q in queries:
+        got = {(int(r.trace_id, 16), int(s, 16)) for r in traceql(text(q), spans).collect() for s in r.span_ids}
+        assert got == _spanset_by_hand(q, rows, parents, above), q
+    counted = traceql('{ name = "a" } | count() >= 3', spans).collect()
+    assert {(int(r.trace_id, 16), int(s, 16)) for r in counted for s in r.span_ids} == _spanset_by_hand(("count", "a", 3), rows, parents, above)
+    first, last = {}, {}
+    for t, *_, at in rows + [(3, None, None, "b", 5)]:
+        first[t], last[t] = min(at, first.get(t, at)), max(at, last.get(t, at))
+    whole = traceql("{ } || { }", spans).collect()
+    assert [(int(r.trace_id, 16), r.start_time_ns) for r in whole] == [(t, first[t]) for t in sorted(first, key=lambda t: (-last[t], t))]
+    page = traceql("{ } || { }", spans, EvalRange(3, 400, 1), limit=4).collect()
+    assert page == [r for r in whole if 3 <= r.start_time_ns <= 400][:4]
+    cyclic = span_rows(spark, [(1, 2, "a", {}), (2, 1, "b", {})])
+    with pytest.raises(ValueError, match="cycle"):
+        traceql('{ name = "a" } >> { name = "b" }', cyclic)
+    assert traceql('{ name = "a" } >> { name = "none" }', cyclic).collect() == []
+    assert [r.span_ids for r in traceql('{ name = "a" } > { name = "b" }', cyclic).collect()] == [[f"{2:016x}"]]
+
+
+def test_traces_come_whole_from_batches():
+    t = pa.table({"trace_id": pa.array([bytes([i // 7]) for i in range(100)]), "x": range(100)})
+    for size in (1, 3, 7, 50, 100):
+        parts = [p.column("x").to_pylist() for p in whole(iter(t.to_batches(size)))]
+        assert sum(parts, []) == list(range(100)) and all(p[0] % 7 == 0 and (p[-1] % 7 == 6 or p[-1] == 99) for p in parts)
+        assert size == 100 or max(map(len, parts)) <= max(2 * size, 7) + size
+
+
+def test_traceql_brings_traces_together_once(spark):
+    """No joins of spans with themselves: their sorts and hash tables added up in one task."""
+    for name in ("traceql_and", "traceql_or", "traceql_count", "traceql_child", "traceql_descendant", "traceql_ancestor", "traceql_parent", "traceql_sibling", "traceql_not_parent", "traceql_union_child"):
+        plan = engine.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan, name
+
+
+def test_shares_of_a_shuffle_do_not_grow(spark, tmp_path):
+    df = spark.range(1000).withColumn("pad", F.repeat(F.md5(F.col("id").cast("string")), 1000))
+    df.write.parquet(str(tmp_path / "t"))
+    size = sum(os.path.getsize(f) for f in glob.glob(str(tmp_path / "t/*.parquet")))
+    assert spread(spark.read.parquet(str(tmp_path / "t")), "id").rdd.getNumPartitions() == -(-size // shared.SPREAD_BYTES)
+    big = shared.SPREAD_BYTES
+    try:
+        shared.SPREAD_BYTES = size // 9
+        assert spread(spark.read.parquet(str(tmp_path / "t")), "id").rdd.getNumPartitions() in (9, 10)
+    finally:
+        shared.SPREAD_BYTES = big
+    assert spread(spark.createDataFrame([(1,)], "id long"), "id").rdd.getNumPartitions() >= 1
+
+
+def test_spans_are_spread_by_order(spark):
+    plan = view(spark, DATA, "spans")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [l_orderkey" in plan
+
+
+def test_ancestors_equal_sets_by_hand(spark):
+    rows, data = _random_spans(random.Random(12))
+    spans = schema.coerce(spark.createDataFrame(data, _SPANS_DDL), "spans").repartition(5)
+    got = [tuple(int.from_bytes(x, "big") for x in r) for r in ancestors(spans).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(t, s, a) for (t, s), above in _above(rows)[1].items() for _, a in above}
+    chain = span_rows(spark, [(i, i - 1 or None, "a", {}) for i in range(1, 61)])
+    assert ancestors(chain).count() == 60 * 59 // 2 and ancestors(chain, 59).count() == 60 * 59 // 2
+    with pytest.raises(ValueError, match="too deep"):
+        ancestors(chain, 58)

@@ -1,7 +1,8 @@
-"""A bounded TraceQL: spansets, boolean and structural operators and count, compiled to joins."""
+"""A bounded TraceQL: spansets, boolean and structural operators and count, evaluated over whole traces in one pass."""
 
 from __future__ import annotations
 
+import functools
 import json
 from dataclasses import dataclass
 
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import hex_lower
 from ..operators.filters import checked_regex
-from ..operators.traces import ancestors, summaries
+from ..operators.traces import summaries
+from ..operators.whole_traces import spansets
+from ..sources.shared import materialized, spread
 from .common import Cursor, EvalRange
 
 
@@ -210,31 +213,50 @@ def _items_test(json_text: Column, p: Predicate) -> Column:
 
 
 class Compiler:
-    """Spansets are DataFrames of (trace_id, span_id); spans are the complete traces to search."""
+    """Spans are the complete traces to search; leaves are the selections of a query, in order of their names."""
 
     def __init__(self, spans: DataFrame):
         self.spans = spans
-        self.edges = spans.select("trace_id", "span_id", "parent_span_id")
-        self._closure: DataFrame | None = None
+        self.leaves: list[Select] = []
 
-    def closure(self) -> DataFrame:
-        if self._closure is None:
-            self._closure = ancestors(self.spans)
-        return self._closure
+    def plan(self, e) -> tuple:
+        """The query as tuples, each selection by its number."""
+        if isinstance(e, Select):
+            if e not in self.leaves:
+                self.leaves.append(e)
+            return "select", self.leaves.index(e)
+        if isinstance(e, Count):
+            return "count", self.plan(e.inner), e.op, e.n
+        if isinstance(e, Structural):
+            return "structural", self.plan(e.left), self.plan(e.right), e.op, e.negated, e.union
+        return "either" if isinstance(e, Either) else "both", self.plan(e.left), self.plan(e.right)
 
-    def select(self, s: Select) -> DataFrame:
+    def rows(self, *leaves: Select) -> DataFrame:
+        """The spans with what predicates of these selections ask for beside the span itself."""
         rows = self.spans
-        fields = {p.field for p in s.predicates if p.scope == "intrinsic"}
+        fields = {p.field for s in leaves for p in s.predicates if p.scope == "intrinsic"}
         if "childCount" in fields:
-            children = self.edges.where("parent_span_id is not null").groupBy("trace_id", F.col("parent_span_id").alias("span_id")).agg(F.count("*").alias("_children"))
+            children = self.spans.where("parent_span_id is not null").groupBy("trace_id", F.col("parent_span_id").alias("span_id")).agg(F.count("*").alias("_children"))
             rows = rows.join(children, ["trace_id", "span_id"], "left").withColumn("_children", F.coalesce("_children", F.lit(0)))
         if fields & {"traceDuration", "rootServiceName", "rootName"}:
             whole = summaries(self.spans).select("trace_id", F.col("duration_ns").alias("_trace"), F.col("root_name").alias("_root"), F.col("root_service").alias("_root_service"))
             rows = rows.join(whole, "trace_id")
+        return rows
+
+    def select(self, s: Select) -> DataFrame:
+        rows = self.rows(s)
         for p in s.predicates:
             rows = rows.where(self._test(p))
         return rows.select("trace_id", "span_id")
 
+    def test(self, s: Select, of_span: bool = False) -> Column:
+        """Whether a row of rows() meets the selection; of_span leaves predicates on the whole trace or on children out."""
+        out = F.lit(True)
+        for p in s.predicates:
+            if not (of_span and p.scope == "intrinsic" and p.field in ("childCount", "traceDuration", "rootServiceName", "rootName")):
+                out &= self._test(p)
+        return F.coalesce(out, F.lit(False))
+
     def _test(self, p: Predicate) -> Column:
         if p.scope == "intrinsic":
             if p.field in ("duration", "childCount", "traceDuration"):
@@ -248,62 +270,48 @@ class Compiler:
         return _variant_test(_member(F.col({"span": "attributes", "resource": "resource", "instrumentation": "scope"}[p.scope]), p.field), p.op, p.value)
 
     def evaluate(self, e) -> DataFrame:
-        if isinstance(e, Select):
-            return self.select(e)
-        if isinstance(e, Count):
-            inner = self.evaluate(e.inner)
-            n = F.col("n")
-            test = {"=": n == e.n, "!=": n != e.n, ">": n > e.n, ">=": n >= e.n, "<": n < e.n, "<=": n <= e.n}[e.op]
-            return inner.join(inner.groupBy("trace_id").agg(F.count("*").alias("n")).where(test).select("trace_id"), "trace_id", "left_semi")
-        left, right = self.evaluate(e.left), self.evaluate(e.right)
-        if isinstance(e, Either):
-            return left.unionByName(right).distinct()
-        if isinstance(e, Both):
-            in_both = left.select("trace_id").distinct().join(right.select("trace_id").distinct(), "trace_id", "left_semi")
-            return left.unionByName(right).distinct().join(in_both, "trace_id", "left_semi")
-        matched = self._related(e, left, right)
-        return left.unionByName(matched).distinct() if e.union else matched
-
-    def _related(self, e: Structural, left: DataFrame, right: DataFrame) -> DataFrame:
-        key = ["trace_id", "span_id"]
-        how = "left_anti" if e.negated else "left_semi"
-        if e.op == ">":
-            hit = self.edges.where("parent_span_id is not null").join(left.select("trace_id", F.col("span_id").alias("parent_span_id")), ["trace_id", "parent_span_id"], "left_semi")
-        elif e.op == "<":
-            hit = self.edges.join(left, key, "left_semi").where("parent_span_id is not null").select("trace_id", F.col("parent_span_id").alias("span_id"))
-        elif e.op == ">>":
-            hit = self.closure().join(left.select("trace_id", F.col("span_id").alias("ancestor_id")), ["trace_id", "ancestor_id"], "left_semi")
-        elif e.op == "<<":
-            hit = self.closure().join(left, key, "left_semi").select("trace_id", F.col("ancestor_id").alias("span_id"))
-        else:
-            # a sibling under the same parent: someone else in left, so two of them or one that is not the span itself
-            own = self.edges.where("parent_span_id is not null")
-            per = own.join(left, key, "left_semi").groupBy("trace_id", "parent_span_id").agg(F.min("span_id").alias("one"), F.max("span_id").alias("two"))
-            hit = own.join(per, ["trace_id", "parent_span_id"]).where("one <> span_id or two <> span_id")
-        return right.join(hit.select(*key).distinct(), key, how)
-
-
-def _candidates(e, spans: DataFrame, test) -> DataFrame:
-    """Ids of traces that can have a result: each leaf that must match has a span that passes its own predicates.
+        """(trace_id, start_time_ns, latest, span_ids): one pass that marks each span with the selections it meets and brings traces together."""
+        plan = self.plan(e)
+        rows = self.rows(*self.leaves).where("trace_id is not null")
+        related = ["parent_span_id"] if _relates(e) else []
+        rows = rows.select("trace_id", "span_id", *related, "start_time_ns", *[self.test(s).alias(f"_leaf{i}") for i, s in enumerate(self.leaves)])
+        found = spread(rows, "trace_id").sortWithinPartitions("trace_id").mapInArrow(spansets(plan, len(self.leaves)), "trace_id binary, start_time_ns long, latest long, span_ids array<binary>")
+        found = materialized(found)  # sorting samples its input, which would evaluate twice
+        if found.where("span_ids is null").limit(1).count():
+            raise ValueError("malformed trace: span parents form a cycle")
+        return found.withColumn("span_ids", F.array_sort(F.transform("span_ids", hex_lower)))
+
+
+def _relates(e) -> bool:
+    return isinstance(e, Structural) or any(_relates(x) for x in vars(e).values() if isinstance(x, Both | Either | Count | Structural))
+
+
+#: With at most so many traces that can have a result, only their spans are brought together.
+MOST_CANDIDATES = 100_000
+
+
+def _candidates(e, spans: DataFrame) -> DataFrame:
+    """Ids of traces that can have a result: each leaf that must match has a span that passes its own predicates, by one pass.
 
     Predicates on the whole trace or on children are left to the evaluation.
     """
-    if isinstance(e, Select):
-        rows = spans
-        for p in e.predicates:
-            if not (p.scope == "intrinsic" and p.field in ("childCount", "traceDuration", "rootServiceName", "rootName")):
-                rows = rows.where(test(p))
-        return rows.select("trace_id").distinct()
-    if isinstance(e, Count):
-        return _candidates(e.inner, spans, test)  # only traces with matches are counted
-    left, right = _candidates(e.left, spans, test), _candidates(e.right, spans, test)
-    if isinstance(e, Either):
-        return left.unionByName(right).distinct()
-    if isinstance(e, Structural) and e.union:
-        return left.unionByName(right).distinct()
-    if isinstance(e, Structural) and e.negated:
-        return right
-    return left.join(right, "trace_id", "left_semi")
+    c = Compiler(spans)
+
+    def can(p: tuple) -> Column:
+        if p[0] == "select":
+            return F.col(f"_leaf{p[1]}")
+        if p[0] == "count":
+            return can(p[1])  # only traces with matches are counted
+        left, right = can(p[1]), can(p[2])
+        if p[0] == "either" or p[0] == "structural" and p[5]:
+            return left | right
+        return right if p[0] == "structural" and p[4] else left & right
+
+    wanted = can(c.plan(e))
+    names = [f"_leaf{i}" for i in range(len(c.leaves))]
+    rows = spans.where(functools.reduce(lambda a, b: a | b, [c.test(s, True) for s in c.leaves]))
+    marked = rows.select("trace_id", *[c.test(s, True).alias(n) for n, s in zip(names, c.leaves, strict=True)])
+    return marked.groupBy("trace_id").agg(*[F.max(n).alias(n) for n in names]).where(wanted).select("trace_id")
 
 
 def traceql(text: str, spans: DataFrame, span: EvalRange | None = None, limit: int | None = None) -> DataFrame:
@@ -314,13 +322,20 @@ def traceql(text: str, spans: DataFrame, span: EvalRange | None = None, limit: i
         # a trace that starts in the range has a span in it; that it starts there is checked below
         bounds = (F.col("start_time_ns") >= F.lit(span.start).cast("long")) & (F.col("start_time_ns") <= F.lit(span.end).cast("long"))
         inside = spans.join(spans.where(bounds).select("trace_id").distinct(), "trace_id", "left_semi")
-    if not isinstance(query, Select):
-        inside = inside.join(_candidates(query, inside, Compiler(inside)._test), "trace_id", "left_semi")
-    found = Compiler(inside).evaluate(query)
-    starts = inside.join(found.select("trace_id").distinct(), "trace_id", "left_semi").groupBy("trace_id").agg(F.min("start_time_ns").alias("start_time_ns"), F.max("start_time_ns").alias("latest"))
+    if isinstance(query, Select):
+        found = Compiler(inside).select(query)
+        starts = inside.join(found.select("trace_id").distinct(), "trace_id", "left_semi").groupBy("trace_id").agg(F.min("start_time_ns").alias("start_time_ns"), F.max("start_time_ns").alias("latest"))
+    else:
+        few = materialized(_candidates(query, inside))
+        if few.count() <= MOST_CANDIDATES:
+            inside = inside.join(F.broadcast(few), "trace_id", "left_semi")
+        starts = Compiler(inside).evaluate(query)
     if span:
         starts = starts.where(bounds)
     if limit is not None:  # the page first, then the span ids of its traces
         starts = starts.orderBy(F.col("latest").desc(), "trace_id").limit(limit)
-    out = found.join(starts, "trace_id").groupBy("trace_id", "start_time_ns", "latest").agg(F.array_sort(F.collect_set(hex_lower(F.col("span_id")))).alias("span_ids"))
+    if isinstance(query, Select):
+        out = found.join(starts, "trace_id").groupBy("trace_id", "start_time_ns", "latest").agg(F.array_sort(F.collect_set(hex_lower(F.col("span_id")))).alias("span_ids"))
+    else:
+        out = starts
     return out.orderBy(F.col("latest").desc(), "trace_id").select(hex_lower(F.col("trace_id")).alias("trace_id"), "start_time_ns", "span_ids")
