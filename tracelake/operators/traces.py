@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import matches
-from ..sources.shared import materialized
+from ..sources.shared import materialized, spread
 from .filters import Filtered, bucket, time_range
+from .whole_traces import ancestor_pairs
 
 
 #: A page of at most so many traces is broadcast.
@@ -135,22 +136,14 @@ class SpanMetricsQuery(SpanFilter):
 
 
 def ancestors(spans: DataFrame, most_depth: int = 10_000) -> DataFrame:
-    """(trace_id, span_id, ancestor_id): the strict ancestors of every span, by repeated joins that double in reach.
+    """(trace_id, span_id, ancestor_id): the strict ancestors of every span, each once, found where a trace's spans are together.
 
-    Raises on a cycle: the frontier then still grows after most_depth levels.
+    Raises on a cycle, or on more than most_depth levels.
     """
-    edges = spans.where(F.col("parent_span_id").isNotNull()).select("trace_id", "span_id", F.col("parent_span_id").alias("ancestor_id"))
-    edges = edges.join(spans.select("trace_id", F.col("span_id").alias("ancestor_id")), ["trace_id", "ancestor_id"], "left_semi").select("trace_id", "span_id", "ancestor_id").distinct()
-    found, before, reach = materialized(edges), -1, 1
-    while (n := found.count()) != before:
-        if reach > most_depth:
-            raise ValueError("malformed trace: span parents form a cycle or are too deep")
-        before, reach = n, reach * 2
-        up = found.select("trace_id", F.col("span_id").alias("ancestor_id"), F.col("ancestor_id").alias("next_id"))
-        further = found.join(up, ["trace_id", "ancestor_id"]).select("trace_id", "span_id", F.col("next_id").alias("ancestor_id"))
-        found = materialized(found.unionByName(further).distinct())
-    if found.where("span_id = ancestor_id").limit(1).count():
-        raise ValueError("malformed trace: span parents form a cycle")
+    rows = spans.where("trace_id is not null").select("trace_id", "span_id", "parent_span_id")
+    found = materialized(spread(rows, "trace_id").sortWithinPartitions("trace_id").mapInArrow(ancestor_pairs(most_depth), "trace_id binary, span_id binary, ancestor_id binary"))
+    if found.where("ancestor_id is null").limit(1).count():
+        raise ValueError("malformed trace: span parents form a cycle or are too deep")
     return found
 
 
