@@ -150,7 +150,7 @@ def ancestors(spans: DataFrame, most_depth: int = 10_000) -> DataFrame:
 def waterfall(spans: DataFrame) -> DataFrame:
     """Rows of each trace in start order, with offset and width as shares of the trace's duration."""
     first = Window.partitionBy("trace_id", "span_id").orderBy("start_time_ns", "name")
-    rows = spans.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    rows = spread(spans.select("trace_id", "span_id", "parent_span_id", "name", "service", "start_time_ns", "duration_ns"), "trace_id").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     trace = Window.partitionBy("trace_id")
     start = F.min("start_time_ns").over(trace)
     total = F.greatest(F.max(F.col("start_time_ns") + F.col("duration_ns")).over(trace) - start, F.lit(1)).cast("double")
