@@ -537,7 +537,7 @@ def test_traces_come_whole_from_batches():
 
 def test_traceql_brings_traces_together_once(spark):
     """No joins of spans with themselves: their sorts and hash tables added up in one task."""
-    for name in ("traceql_and", "traceql_or", "traceql_count", "traceql_child", "traceql_descendant", "traceql_ancestor", "traceql_parent", "traceql_sibling", "traceql_not_parent", "traceql_union_child"):
+    for name in ("traceql_select", "traceql_child_count", "traceql_root", "traceql_and", "traceql_or", "traceql_count", "traceql_child", "traceql_descendant", "traceql_ancestor", "traceql_parent", "traceql_sibling", "traceql_not_parent", "traceql_union_child"):
         plan = engine.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and "Aggregate" not in plan, name
 

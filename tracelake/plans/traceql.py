@@ -243,12 +243,6 @@ class Compiler:
             rows = rows.join(whole, "trace_id")
         return rows
 
-    def select(self, s: Select) -> DataFrame:
-        rows = self.rows(s)
-        for p in s.predicates:
-            rows = rows.where(self._test(p))
-        return rows.select("trace_id", "span_id")
-
     def test(self, s: Select, of_span: bool = False) -> Column:
         """Whether a row of rows() meets the selection; of_span leaves predicates on the whole trace or on children out."""
         out = F.lit(True)
@@ -322,20 +316,12 @@ def traceql(text: str, spans: DataFrame, span: EvalRange | None = None, limit: i
         # a trace that starts in the range has a span in it; that it starts there is checked below
         bounds = (F.col("start_time_ns") >= F.lit(span.start).cast("long")) & (F.col("start_time_ns") <= F.lit(span.end).cast("long"))
         inside = spans.join(spans.where(bounds).select("trace_id").distinct(), "trace_id", "left_semi")
-    if isinstance(query, Select):
-        found = Compiler(inside).select(query)
-        starts = inside.join(found.select("trace_id").distinct(), "trace_id", "left_semi").groupBy("trace_id").agg(F.min("start_time_ns").alias("start_time_ns"), F.max("start_time_ns").alias("latest"))
-    else:
-        few = materialized(_candidates(query, inside))
-        if few.count() <= MOST_CANDIDATES:
-            inside = inside.join(F.broadcast(few), "trace_id", "left_semi")
-        starts = Compiler(inside).evaluate(query)
+    few = materialized(_candidates(query, inside))
+    if few.count() <= MOST_CANDIDATES:
+        inside = inside.join(F.broadcast(few), "trace_id", "left_semi")
+    out = Compiler(inside).evaluate(query)
     if span:
-        starts = starts.where(bounds)
-    if limit is not None:  # the page first, then the span ids of its traces
-        starts = starts.orderBy(F.col("latest").desc(), "trace_id").limit(limit)
-    if isinstance(query, Select):
-        out = found.join(starts, "trace_id").groupBy("trace_id", "start_time_ns", "latest").agg(F.array_sort(F.collect_set(hex_lower(F.col("span_id")))).alias("span_ids"))
-    else:
-        out = starts
-    return out.orderBy(F.col("latest").desc(), "trace_id").select(hex_lower(F.col("trace_id")).alias("trace_id"), "start_time_ns", "span_ids")
+        out = out.where(bounds)
+    out = out.orderBy(F.col("latest").desc(), "trace_id")
+    out = out if limit is None else out.limit(limit)
+    return out.select(hex_lower(F.col("trace_id")).alias("trace_id"), "start_time_ns", "span_ids")
