@@ -557,8 +557,8 @@ def test_shares_of_a_shuffle_do_not_grow(spark, tmp_path):
 
 
 def test_spans_are_spread_by_order(spark):
-    plan = view(spark, DATA, "spans")._jdf.queryExecution().optimizedPlan().toString()
-    assert "RepartitionByExpression [l_orderkey" in plan
+    for df in (view(spark, DATA, "spans"), *(engine.queries()[name](spark, DATA) for name in ("span_red_metrics", "trace_summaries", "trace_search", "logs_join_spans"))):
+        assert "RepartitionByExpression [l_orderkey" in df._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_ancestors_equal_sets_by_hand(spark):
