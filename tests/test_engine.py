@@ -561,6 +561,11 @@ def test_spans_are_spread_by_order(spark):
         assert "RepartitionByExpression [l_orderkey" in df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_waterfall_is_shuffled_by_trace_once(spark):
+    plan = engine.queries()["trace_waterfall"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [trace_id") == 2  # the rows and their parents
+
+
 def test_ancestors_equal_sets_by_hand(spark):
     rows, data = _random_spans(random.Random(12))
     spans = schema.coerce(spark.createDataFrame(data, _SPANS_DDL), "spans").repartition(5)
